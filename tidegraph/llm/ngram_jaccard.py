@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.workspace import Workspace, components
+from tidegraph.llm.workspace import Workspace, components, only
 
 CELLS = 1 << 16
 KNOWN_WORDS = 400_000
@@ -119,8 +119,13 @@ def _comparable(percent: int):
     return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def _filtered(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Of pairs ``a, b`` those that share prefix tokens under the other orders as well."""
+    sigs = only(sigs.select("doc_id", "p2", "p3"), _ids(pairs), "doc_id")
     mine = sigs.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     other = sigs.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
     return pairs.join(mine, "a").join(other, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
@@ -147,19 +152,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     docs = docs.select("doc_id", "text")
     sigs = space.keep(signatures(docs, cell_counts(docs, width), width, percent), "signatures")
     class_of = space.keep(sigs.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("head")), "classes")
-    heads = class_of.select(F.col("head").alias("doc_id"))
-
-    tokens = sigs.where("n > 0").select("doc_id", "n", F.explode("p1").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    near = tokens.join(shared, "token").join(heads.distinct(), "doc_id", "left_semi")
-    kept = space.keep(near, "kept")
+    heads = class_of.select(F.col("head").alias("doc_id")).distinct()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
+        sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width), f"{name}-sets")
+        links = space.keep(_verified(pairs, sets, percent), f"{name}-links")
+        space.drop(f"{name}-sets")
+        return links
+
+    by_token = Window.partitionBy("token")
+    tokens = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", F.explode("p1").alias("token"))
+    shared = tokens.withColumn("lo", F.min("doc_id").over(by_token)).withColumn("hi", F.max("doc_id").over(by_token)).where("lo < hi").select("token", "doc_id", "n")
+    kept = space.keep(shared.join(heads, "doc_id", "left_semi"), "kept")
     lead = kept.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("token", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"))
     wide = kept.join(lead, "token")
-    some = space.keep(wide.select("doc_id").distinct(), "some")
-    sets = space.keep(_sets(docs.join(some, "doc_id", "left_semi"), width), "sets")
 
     star = wide.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").where(_comparable(percent)).select("a", "b").distinct()
-    stars = space.keep(_verified(_filtered(star, sigs), sets, percent), "stars")
+    stars = linked(star, "star")
     label = components(stars, space, "first")
 
     # what is still apart among the documents of a token, by slots: sizes within the ratio meet in one slot at least
@@ -170,8 +180,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     left = apart.select("token", "slot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = apart.select("token", "slot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     rest = left.join(right, ["token", "slot"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(percent)).select("a", "b").distinct()
-    rests = space.keep(_verified(_filtered(rest, sigs), sets, percent), "rests")
-    for table in ("kept", "some", "apart", "sets"):
+    rests = linked(rest, "rest")
+    for table in ("kept", "apart"):
         space.drop(table)
     label = space.keep(components(stars.union(rests), space, "second"), "labels")
 

@@ -47,6 +47,11 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids``: by broadcast up to ``most`` counted ids, else by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def components(edges: DataFrame, space: Workspace, table: str = "cc", rounds: int = 60) -> DataFrame:
     """``(a, b)`` links to ``(node, component)`` where component is the smallest node reachable; linked nodes only.
 
