@@ -13,7 +13,7 @@ near copies costs its size, not its square, and no link between components is lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,22 +47,33 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles: A-Z lower-cased, words parted by ASCII white space.
+def shingle_sets(texts: Sequence[str | None], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word shingles: A-Z lower-cased, words parted by ASCII white space.
 
     A text of fewer words than ``width`` has one shingle, all its words; without words it has none.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.array(list(map(_words.__getitem__, words)), np.uint64)
-    n = len(h) - width + 1
-    out = np.zeros(n, np.uint64)
+    words = [t.encode().lower().split() if t else [] for t in texts]
+    h = np.array([x for w in words if len(w) >= width for x in map(_words.__getitem__, w)], np.uint64)
+    n = max(len(h) - width + 1, 0)
+    mixed = np.zeros(n, np.uint64)
     for k in range(width):
-        out = _mix(out + h[k : k + n] * _MULTIPLIERS[k % 3], k + 1)
-    return np.unique(out)
+        mixed = _mix(mixed + h[k : k + n] * _MULTIPLIERS[k % 3], k + 1)
+    out, at = [], 0
+    for w in words:
+        if len(w) >= width:
+            x = np.sort(mixed[at : at + len(w) - width + 1])
+            out.append(x[np.r_[True, x[1:] != x[:-1]]])
+            at += len(w)
+        else:
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=len(w))] if w else [], np.uint64))
+    return out
+
+
+def _blocks(batches: Iterator[pd.DataFrame], width: int, size: int = 256) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    for b in batches:
+        for k in range(0, len(b), size):
+            part = b.iloc[k : k + size]
+            yield part, shingle_sets(part["text"].tolist(), width)
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -74,9 +85,8 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for k in range(0, len(b), 500):
-                total += np.bincount(np.concatenate([_cells(shingle_set(t, width)) for t in b["text"].iloc[k : k + 500]]), minlength=CELLS)
+        for _, sets in _blocks(batches, width):
+            total += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
@@ -87,32 +97,47 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, same`` (equal for equal sets), ``p1`` (prefix under the first order), ``p2, p3`` (under the others, 32 bits)."""
+    """``doc_id, n, same, p1, p2, p3``: ``same`` is equal for equal sets, the others are prefixes under the three orders.
+
+    Each prefix holds n - ceil(t n) + 1 tokens, of which linked sets share one. ``p2`` and ``p3`` keep 32 bits.
+    """
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                tokens = shingle_set(text, width)
+        for part, sets in _blocks(batches, width):
+            flat = np.concatenate(sets)
+            # the cell is the upper 16 bits of a token, so this is one order of all tokens
+            rare = rank[_cells(flat)] << np.uint64(48) | flat & np.uint64((1 << 48) - 1)
+            orders = [rare, _mix(flat, 0x5851F42D), _mix(flat, 0x14057B7E)]
+            rows, at = [], 0
+            for doc, tokens in zip(part["doc_id"], sets, strict=True):
                 n = len(tokens)
                 if not n:
                     rows.append((doc, 0, None, [], [], []))
                     continue
-                size = n - (percent * n + 99) // 100 + 1
-                first = tokens[np.lexsort((tokens, counts[_cells(tokens)]))[:size]].view(np.int64)
-                others = [np.partition(_mix(tokens, salt), size - 1)[:size].view(np.int64) >> 32 for salt in (0x5851F42D, 0x14057B7E)]
-                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), first, *[x.astype(np.int32) for x in others]))
+                spare = n - (percent * n + 99) // 100
+                first, second, third = [np.partition(o[at : at + n], spare)[: spare + 1].view(np.int64) for o in orders]
+                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), first, (second >> 32).astype(np.int32), (third >> 32).astype(np.int32)))
+                at += n
             yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "p1", "p2", "p3"])
 
     return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n long, same binary, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, tokens, long_prefix``: whole sets, and under the second order the first 5 spare + 1 tokens, of which
+    linked sets share 4 spare + 1 at least, by the smaller spare; 32 bits of each."""
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingle_set(t, width).view(np.int64) for t in b["text"]]})
+        for part, sets in _blocks(batches, width):
+            prefixes = []
+            for tokens in sets:
+                size = 5 * (len(tokens) - (percent * len(tokens) + 99) // 100) + 1
+                prefixes.append((np.sort(_mix(tokens, 0x5851F42D))[:size].view(np.int64) >> 32).astype(np.int32))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": [x.view(np.int64) for x in sets], "long_prefix": prefixes})
 
-    return docs.select("doc_id", "text").mapInPandas(build, "doc_id long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInPandas(build, "doc_id long, tokens array<long>, long_prefix array<int>")
 
 
 def _comparable(percent: int):
@@ -131,12 +156,25 @@ def _filtered(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(mine, "a").join(other, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
 
 
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs those that share as many tokens of the long prefix as linked sets must.
+
+    Different tokens of equal 32 bits may let a pair pass; where they collide inside a set, the bound falls by that.
+    """
+    mine = sets.select(F.col("doc_id").alias("a"), F.array_distinct("long_prefix").alias("pa"), F.size("long_prefix").alias("na"))
+    other = sets.select(F.col("doc_id").alias("b"), F.array_distinct("long_prefix").alias("pb"), F.size("long_prefix").alias("nb"))
+    both = pairs.join(mine, "a").join(other, "b")
+    lost = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    least = F.floor((F.least("na", "nb") - 1) / 5) * 4 + 1
+    return both.where(F.size(F.array_intersect("pa", "pb")) + lost >= least).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(mine, "a").join(other, "b")
     common = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"), (F.size("ta") + F.size("tb")).cast("long").alias("s"))
-    return common.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
+    return common.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -156,8 +194,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
-        sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width), f"{name}-sets")
-        links = space.keep(_verified(pairs, sets, percent), f"{name}-links")
+        sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width, percent), f"{name}-sets")
+        likely = space.keep(_likely(pairs, sets), f"{name}-likely")
+        links = space.keep(_verified(likely, sets, percent), f"{name}-links")
         space.drop(f"{name}-sets")
         return links
 
