@@ -99,7 +99,8 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """``doc_id, n, same, p1, p2, p3``: ``same`` is equal for equal sets, the others are prefixes under the three orders.
 
-    Each prefix holds n - ceil(t n) + 1 tokens, of which linked sets share one. ``p2`` and ``p3`` keep 32 bits.
+    Each prefix holds n - ceil(t n) + 1 tokens, of which linked sets share one. ``p1`` is in its order; ``p2`` and
+    ``p3`` keep 32 bits.
     """
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                     continue
                 spare = n - (percent * n + 99) // 100
                 first, second, third = [np.partition(o[at : at + n], spare)[: spare + 1].view(np.int64) for o in orders]
-                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), first, (second >> 32).astype(np.int32), (third >> 32).astype(np.int32)))
+                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), np.sort(first.view(np.uint64)).view(np.int64), (second >> 32).astype(np.int32), (third >> 32).astype(np.int32)))
                 at += n
             yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "p1", "p2", "p3"])
 
@@ -144,6 +145,13 @@ def _comparable(percent: int):
     return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
 
 
+def _in_time(percent: int):
+    """Whether a shared token stands early enough in both prefixes: the first one shared has at places ``pa, pb`` no
+    more than so many tokens left to share."""
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return left * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -177,11 +185,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def _met(rows: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components and comparable size that meet in ``on``."""
+    left = rows.select(*on, F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+    right = rows.select(*on, F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    return left.join(right, on).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(percent) & _in_time(percent)).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd: int = 16) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets. ``component_id`` is the
-    smallest doc_id reachable by links, itself included. A text that is null or has no word has no shingle and
+    smallest doc_id reachable by links, itself included. Documents that meet at a token more than ``crowd`` at a time
+    are joined by a prefix order of their own, with exact counts. A text that is null or has no word has no shingle and
     links with nothing. Rows that repeat a doc_id stay rows; if their texts differ, the document has the links of
     both. Rows without doc_id link with nothing and get a null component.
     """
@@ -192,34 +208,47 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     class_of = space.keep(sigs.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("head")), "classes")
     heads = class_of.select(F.col("head").alias("doc_id")).distinct()
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
-        sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width, percent), f"{name}-sets")
+    def linked(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+        """The links among candidate pairs."""
+        if sets is None:
+            pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
+            sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width, percent), f"{name}-sets")
         likely = space.keep(_likely(pairs, sets), f"{name}-likely")
         links = space.keep(_verified(likely, sets, percent), f"{name}-links")
         space.drop(f"{name}-sets")
         return links
 
     by_token = Window.partitionBy("token")
-    tokens = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", F.explode("p1").alias("token"))
-    shared = tokens.withColumn("lo", F.min("doc_id").over(by_token)).withColumn("hi", F.max("doc_id").over(by_token)).where("lo < hi").select("token", "doc_id", "n")
+    tokens = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", F.posexplode("p1").alias("place", "token"))
+    shared = tokens.withColumn("lo", F.min("doc_id").over(by_token)).withColumn("hi", F.max("doc_id").over(by_token)).where("lo < hi").select("token", "doc_id", "n", "place")
     kept = space.keep(shared.join(heads, "doc_id", "left_semi"), "kept")
-    lead = kept.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("token", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"))
+    lead = kept.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("token", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa"))
     wide = kept.join(lead, "token")
 
-    star = wide.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").where(_comparable(percent)).select("a", "b").distinct()
+    star = wide.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").withColumnRenamed("place", "pb").where(_comparable(percent) & _in_time(percent)).select("a", "b").distinct()
     stars = linked(star, "star")
     label = components(stars, space, "first")
 
     # what is still apart among the documents of a token, by slots: sizes within the ratio meet in one slot at least
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001 + 1e-9))
-    apart = wide.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("slot"))
-    mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "slot")
+    apart = wide.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("slot"))
+    mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size")
     apart = space.keep(apart.join(mixed, ["token", "slot"]), "apart")
-    left = apart.select("token", "slot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = apart.select("token", "slot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = left.join(right, ["token", "slot"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(percent)).select("a", "b").distinct()
-    rests = linked(rest, "rest")
+    few = _met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent)
+    few = space.keep(_filtered(few, sigs), "few-candidates")
+    # documents that crowd at a token: their own exact counts give an order with the rarest tokens first
+    crowded = space.keep(apart.where(F.col("size") > crowd).select("doc_id", "n", "component").distinct(), "crowded")
+    rest_ids = space.keep(_ids(few).union(crowded.select("doc_id")).distinct(), "rest-ids")
+    rest_sets = space.keep(_sets(only(docs, rest_ids, "doc_id"), width, percent), "rest-sets")
+    own = rest_sets.join(crowded, "doc_id").select("doc_id", "n", "component", F.explode("tokens").alias("token"))
+    often = own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = own.join(often, "token")
+    # tokens that no other crowded document has come first and fill the prefix without meeting anything
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
+    placed = met.withColumn("place", alone + F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) - 1)
+    prefix = space.keep(placed.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("doc_id", "n", "component", "token", "place"), "prefix")
+    many = _filtered(space.keep(_met(prefix, ["token"], percent), "many-pairs"), sigs)
+    rests = linked(few.union(many).distinct(), "rest", rest_sets)
     for table in ("kept", "apart"):
         space.drop(table)
     label = space.keep(components(stars.union(rests), space, "second"), "labels")
