@@ -154,7 +154,9 @@ class ArchiveReader(DataSourceReader):
                 error = f"{type(e).__name__}: {e}"
         return None, error
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where nothing is planned
+            return
         fs, root = pafs.FileSystem.from_uri(self.folder)
         rows: list[tuple] = []
         size = 0
