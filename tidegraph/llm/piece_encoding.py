@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words longer than this, and words beyond the table's size, are encoded without being remembered.
-CACHED_CHARS, CACHED_WORDS = 48, 600_000
-CACHED_PAIRS = 600_000
+CACHED_CHARS, CACHED_WORDS = 48, 250_000
+CACHED_PAIRS = 400_000
+#: Documents that leave a worker at once.
+BLOCK = 500
 
 
 class PieceCodec:
@@ -129,9 +131,7 @@ class PieceCodec:
         if found is None:
             ids = self.encode_word(word)
             found = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
-            if len(word) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
+            if len(word) <= CACHED_CHARS and len(self.known) < CACHED_WORDS:
                 self.known[word] = found
         return found
 
@@ -172,8 +172,8 @@ def codec(model_file: str) -> PieceCodec:
     return _codecs[model_file]
 
 
-def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds the ids and the decoded text of every whole text. A null text counts as empty: no ids, empty text.
+def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+    """Adds the ids and, unless ``decoded`` is None, the decoded text of every whole text. A null text counts as empty: no ids, empty text.
 
     ``model_file`` must be readable under that name on every executor. Input columns called like the two new ones
     are replaced.
@@ -182,12 +182,16 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
         for batch in batches:
-            rows = [own.encode_decode(t or "") for t in batch["__text"]]
-            yield batch.drop(columns="__text").assign(**{ids: [r[0] for r in rows], decoded: [r[1] for r in rows]})
-
-    kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema])
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, f"{fields}, `{ids}` array<int>, `{decoded}` string")
+            for k in range(0, len(batch), BLOCK):
+                part = batch.iloc[k : k + BLOCK]
+                rows = [own.encode_decode(t or "") for t in part["__text"]]
+                new = {ids: [r[0] for r in rows]} | ({decoded: [r[1] for r in rows]} if decoded else {})
+                yield part.drop(columns="__text").assign(**new)
+
+    names = [ids, *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in names]]
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema] + [f"`{ids}` array<int>"] + ([f"`{decoded}` string"] if decoded else []))
+    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, fields)
 
 
 def encode_digests(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
