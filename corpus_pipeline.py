@@ -45,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None)
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
