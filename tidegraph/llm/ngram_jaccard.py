@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.llm.worker_memory import held
 from tidegraph.llm.workspace import Workspace, components, only
 
 CELLS = 1 << 16
@@ -44,16 +45,14 @@ class WordHashes(dict):
         return found
 
 
-_words = WordHashes()
-
-
 def shingle_sets(texts: Sequence[str | None], width: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its word shingles: A-Z lower-cased, words parted by ASCII white space.
 
     A text of fewer words than ``width`` has one shingle, all its words; without words it has none.
     """
     words = [t.encode().lower().split() if t else [] for t in texts]
-    h = np.array([x for w in words if len(w) >= width for x in map(_words.__getitem__, w)], np.uint64)
+    known = held("words", WordHashes)
+    h = np.array([x for w in words if len(w) >= width for x in map(known.__getitem__, w)], np.uint64)
     n = max(len(h) - width + 1, 0)
     mixed = np.zeros(n, np.uint64)
     for k in range(width):

@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm.worker_memory import held
+
 SPACE = "▁"
 #: Words longer than this, and words beyond the table's size, are encoded without being remembered.
 CACHED_CHARS, CACHED_WORDS = 48, 250_000
@@ -162,14 +164,9 @@ class PieceCodec:
         )
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(model_file: str) -> PieceCodec:
-    """The codec of a model file; one for each worker process."""
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+    """The codec of a model file that this worker process keeps."""
+    return held(("pieces", model_file), lambda: PieceCodec(model_file))
 
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:

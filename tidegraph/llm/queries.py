@@ -27,7 +27,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = language_id.train_language_net(docs)
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
-    return language_id.predict_language(docs.select("doc_id", held_out, "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.predict_language(docs.select("doc_id", held_out, "text"), net, keep_text=False)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
