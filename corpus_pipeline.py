@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or letters go."""
     docs = docs.select(COLUMNS)
-    return predict_language(docs.withColumn("__all", F.col("text")), train_language_net(docs), "__all").where(F.col("lang_pred") != UNKNOWN).select(COLUMNS)
+    return predict_language(docs, train_language_net(docs)).where(F.col("lang_pred") != UNKNOWN).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
