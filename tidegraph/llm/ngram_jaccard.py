@@ -213,7 +213,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
             pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
             sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width, percent), f"{name}-sets")
         likely = space.keep(_likely(pairs, sets), f"{name}-likely")
-        links = space.keep(_verified(likely, sets, percent), f"{name}-links")
+        links = space.keep(_verified(likely, only(sets, _ids(likely), "doc_id"), percent), f"{name}-links")
         space.drop(f"{name}-sets")
         return links
 
