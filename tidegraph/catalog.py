@@ -141,12 +141,6 @@ for _k in LAYOUTS:
     _layout(_k)
 
 
-@entry("SELECT o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY o_orderpriority")
-def p6_dispatch(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"))
-
-
 @entry(A + "SELECT CAST(floor(timestamp / 3600) AS BIGINT) AS bucket, count(*) AS n_edges FROM a GROUP BY 1")
 def p8_a14_buckets(spark, sf_dir):
     return state.bucket_counts(graph_a(spark, sf_dir), LAYOUTS[4])
