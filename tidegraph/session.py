@@ -8,11 +8,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows that cross to a Python worker at once, where the session doesn't say; long texts make Spark's own 10,000 heavy.
+ROWS_AT_ONCE = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the folder the driver found it in.
+    """Lets Python workers import this package from the folder the driver found it in, and bounds what they get at once.
 
     On a cluster without a common installation folder, pass the package with ``--py-files`` instead.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     root = str(Path(__file__).resolve().parent.parent)
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
