@@ -218,19 +218,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
         return links
 
     by_token = Window.partitionBy("token")
-    tokens = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", F.posexplode("p1").alias("place", "token"))
-    shared = tokens.withColumn("lo", F.min("doc_id").over(by_token)).withColumn("hi", F.max("doc_id").over(by_token)).where("lo < hi").select("token", "doc_id", "n", "place")
-    kept = space.keep(shared.join(heads, "doc_id", "left_semi"), "kept")
-    lead = kept.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("token", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa"))
-    wide = kept.join(lead, "token")
+    tokens = only(sigs.where("n > 0").select("doc_id", "n", "p1"), heads, "doc_id").select("doc_id", "n", F.posexplode("p1").alias("place", "token"))
+    lead = F.min(F.struct("doc_id", "n", "place")).over(by_token)
+    shared = tokens.withColumn("lead", lead).withColumn("hi", F.max("doc_id").over(by_token)).where("lead.doc_id < hi")
+    kept = space.keep(shared.select("token", "doc_id", "n", "place", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa")), "kept")
 
-    star = wide.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").withColumnRenamed("place", "pb").where(_comparable(percent) & _in_time(percent)).select("a", "b").distinct()
+    star = kept.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").withColumnRenamed("place", "pb").where(_comparable(percent) & _in_time(percent)).select("a", "b").distinct()
     stars = linked(star, "star")
     label = components(stars, space, "first")
 
     # what is still apart among the documents of a token, by slots: sizes within the ratio meet in one slot at least
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001 + 1e-9))
-    apart = wide.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"), F.explode(F.array(size_class, size_class + 1)).alias("slot"))
+    placed = kept.select("token", "doc_id", "n", "place").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # most tokens stand in one component alone by now
+    torn = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    torn = space.keep(placed.join(torn, "token"), "torn")
+    apart = torn.select("token", "doc_id", "n", "place", "component", F.explode(F.array(size_class, size_class + 1)).alias("slot"))
     mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size")
     apart = space.keep(apart.join(mixed, ["token", "slot"]), "apart")
     few = _met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent)
@@ -248,7 +251,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     prefix = space.keep(placed.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("doc_id", "n", "component", "token", "place"), "prefix")
     many = _filtered(space.keep(_met(prefix, ["token"], percent), "many-pairs"), sigs)
     rests = linked(few.union(many).distinct(), "rest", rest_sets)
-    for table in ("kept", "apart"):
+    for table in ("kept", "torn", "apart"):
         space.drop(table)
     label = space.keep(components(stars.union(rests), space, "second"), "labels")
 
