@@ -155,9 +155,9 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
-def _filtered(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Of pairs ``a, b`` those that share prefix tokens under the other orders as well."""
-    sigs = only(sigs.select("doc_id", "p2", "p3"), _ids(pairs), "doc_id")
+def _filtered(pairs: DataFrame, sigs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of pairs ``a, b`` of documents among ``ids`` those that share prefix tokens under the other orders as well."""
+    sigs = only(sigs.select("doc_id", "p2", "p3"), ids, "doc_id")
     mine = sigs.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     other = sigs.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
     return pairs.join(mine, "a").join(other, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
@@ -207,13 +207,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     class_of = space.keep(sigs.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("head")), "classes")
     heads = class_of.select(F.col("head").alias("doc_id")).distinct()
 
+    def ids_of(pairs: DataFrame, name: str) -> DataFrame:
+        return space.keep(_ids(pairs), f"{name}-ids")
+
+    def candidates(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = space.keep(pairs, f"{name}-pairs")
+        return space.keep(_filtered(pairs, sigs, ids_of(pairs, f"{name}-pair")), f"{name}-candidates")
+
     def linked(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """The links among candidate pairs."""
         if sets is None:
-            pairs = space.keep(_filtered(space.keep(pairs, f"{name}-pairs"), sigs), f"{name}-candidates")
-            sets = space.keep(_sets(only(docs, _ids(pairs), "doc_id"), width, percent), f"{name}-sets")
+            pairs = candidates(pairs, name)
+            sets = space.keep(_sets(only(docs, ids_of(pairs, f"{name}-candidate"), "doc_id"), width, percent), f"{name}-sets")
         likely = space.keep(_likely(pairs, sets), f"{name}-likely")
-        links = space.keep(_verified(likely, only(sets, _ids(likely), "doc_id"), percent), f"{name}-links")
+        links = space.keep(_verified(likely, only(sets, ids_of(likely, f"{name}-likely"), "doc_id"), percent), f"{name}-links")
         space.drop(f"{name}-sets")
         return links
 
@@ -236,8 +243,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     apart = torn.select("token", "doc_id", "n", "place", "component", F.explode(F.array(size_class, size_class + 1)).alias("slot"))
     mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size")
     apart = space.keep(apart.join(mixed, ["token", "slot"]), "apart")
-    few = _met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent)
-    few = space.keep(_filtered(few, sigs), "few-candidates")
+    few = candidates(_met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent), "few")
     # documents that crowd at a token: their own exact counts give an order with the rarest tokens first
     crowded = space.keep(apart.where(F.col("size") > crowd).select("doc_id", "n", "component").distinct(), "crowded")
     rest_ids = space.keep(_ids(few).union(crowded.select("doc_id")).distinct(), "rest-ids")
@@ -249,7 +255,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     alone = F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
     placed = met.withColumn("place", alone + F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) - 1)
     prefix = space.keep(placed.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("doc_id", "n", "component", "token", "place"), "prefix")
-    many = _filtered(space.keep(_met(prefix, ["token"], percent), "many-pairs"), sigs)
+    many = _filtered(space.keep(_met(prefix, ["token"], percent), "many-pairs"), sigs, crowded.select("doc_id").distinct())
     rests = linked(few.union(many).distinct(), "rest", rest_sets)
     for table in ("kept", "torn", "apart"):
         space.drop(table)
