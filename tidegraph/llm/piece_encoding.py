@@ -22,8 +22,8 @@ from tidegraph.llm.worker_memory import held
 
 SPACE = "▁"
 #: Words longer than this, and words beyond the table's size, are encoded without being remembered.
-CACHED_CHARS, CACHED_WORDS = 48, 250_000
-CACHED_PAIRS = 400_000
+CACHED_CHARS, CACHED_WORDS = 48, 150_000
+CACHED_PAIRS = 250_000
 #: Documents that leave a worker at once.
 BLOCK = 500
 

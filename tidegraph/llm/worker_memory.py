@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
@@ -14,5 +17,8 @@ def held(key: Hashable, build: Callable[[], Any]) -> Any:
     if key not in _held:
         _held.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # gives freed pages back to the system; glibc only
+            libc.malloc_trim(0)
         _held[key] = build()
     return _held[key]
