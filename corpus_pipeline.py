@@ -15,6 +15,7 @@ from tidegraph.llm.workspace import Workspace
 from tidegraph.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of n-gram near duplicates."""
-    others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The first document of each component of near duplicates: word shingles of ``NEAR_WIDTH``, Jaccard from ``NEAR_PERCENT`` on."""
+    others = jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(others.hint("shuffle_hash"), "doc_id", "left_anti")
 
 

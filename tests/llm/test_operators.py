@@ -320,7 +320,8 @@ def test_shards(spark, docs):
 
 # n-grams
 
-def test_jaccard(spark, docs):
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, docs, width, percent):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(4000)]
     rows = []
@@ -338,7 +339,7 @@ def test_jaccard(spark, docs):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
     parent = {i: i for i in sets}
 
     def root(i):
@@ -348,12 +349,12 @@ def test_jaccard(spark, docs):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 90 * len(sets[a] | sets[b]):
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     for crowd in (2, 16):
-        got = {r.doc_id: r for r in jac.jaccard_components(docs(rows, extra=True), crowd=crowd).collect()}
+        got = {r.doc_id: r for r in jac.jaccard_components(docs(rows, extra=True), width, percent, crowd).collect()}
         assert {i: (got[i].n_shingles, got[i].component_id) for i in sets} == {i: (len(s), root(i)) for i, s in sets.items()}
-    assert jac.jaccard_components(docs([])).count() == 0
-    odd = jac.jaccard_components(docs(ODD)).collect()
+    assert jac.jaccard_components(docs([]), width, percent).count() == 0
+    odd = jac.jaccard_components(docs(ODD), width, percent).collect()
     assert len(odd) == len(ODD) and [r.component_id for r in odd if r.doc_id is None] == [None]
