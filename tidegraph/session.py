@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 #: Rows that cross to a Python worker at once, where the session doesn't say; long texts make Spark's own 10,000 heavy.
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 500
 
 
 def ship(spark: SparkSession) -> SparkSession:
