@@ -45,9 +45,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None)
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document, and the SHA-256 of the text decoded from them."""
+    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None, decoded_sha256="decoded_sha256")
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("language_id", language_filter), ("line_dedup", line_dedup), ("ngram_jaccard", near_dedup), ("source_mixing", source_mix), ("piece_encoding", encode)]

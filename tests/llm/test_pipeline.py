@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, against plain versions."""
 
+import hashlib
+
 import corpus_pipeline as p
 import public_tokenizers
 import sentencepiece
@@ -35,3 +37,13 @@ def test_odd_and_empty(spark, docs, tmp_path):
         folder = str(tmp_path / name)
         docs(rows).write.parquet(f"{folder}/documents.parquet")
         assert p.run(spark, folder).count() >= 0
+
+
+def test_decodes(spark, docs):
+    rows = [(1, None), (2, ""), (3, " two  spaces\nand 日本 \x00 "), (4, "an ordinary text")]
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {k: t or "" for k, t in rows}
+    got = p.encode(spark, docs(rows), "").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(list(r.ids)).encode()).hexdigest() == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()

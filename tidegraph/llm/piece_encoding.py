@@ -169,25 +169,31 @@ def codec(model_file: str) -> PieceCodec:
     return held(("pieces", model_file), lambda: PieceCodec(model_file))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """Adds the ids and, unless ``decoded`` is None, the decoded text of every whole text. A null text counts as empty: no ids, empty text.
+def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", decoded_sha256: str | None = None) -> DataFrame:
+    """Adds the ids and, where ``decoded`` and ``decoded_sha256`` name columns, the decoded text of every whole text and its SHA-256.
 
-    ``model_file`` must be readable under that name on every executor. Input columns called like the two new ones
-    are replaced.
+    A null text counts as empty: no ids, empty text. ``model_file`` must be readable under that name on every
+    executor. Input columns called like the new ones are replaced.
     """
+    added = {n: kind for n, kind in ((ids, "array<int>"), (decoded, "string"), (decoded_sha256, "string")) if n}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
         for batch in batches:
             for k in range(0, len(batch), BLOCK):
                 part = batch.iloc[k : k + BLOCK]
-                rows = [own.encode_decode(t or "") for t in part["__text"]]
-                new = {ids: [r[0] for r in rows]} | ({decoded: [r[1] for r in rows]} if decoded else {})
+                new: dict[str, list] = {n: [] for n in added}
+                for t in part["__text"]:
+                    found, back = own.encode_decode(t or "")
+                    new[ids].append(found)
+                    if decoded:
+                        new[decoded].append(back)
+                    if decoded_sha256:
+                        new[decoded_sha256].append(hashlib.sha256(back.encode()).hexdigest())
                 yield part.drop(columns="__text").assign(**new)
 
-    names = [ids, *([decoded] if decoded else [])]
-    kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in names]]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema] + [f"`{ids}` array<int>"] + ([f"`{decoded}` string"] if decoded else []))
+    kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in added]]
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema] + [f"`{n}` {kind}" for n, kind in added.items()])
     return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, fields)
 
 
