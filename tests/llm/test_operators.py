@@ -186,6 +186,45 @@ def test_lines(spark, docs):
     assert sorted(len(r.text) for r in odd if r.doc_id == 8) == [0, 0]
 
 
+def test_patience_without_unique_lines():
+    p = [1, 2, 3]
+    assert [(i, j) for i, j in lines.patience_matches([7, *p, 8, *p, 9], [5, *p, 6]) if j in (1, 2, 3)] == [(5, 1), (6, 2), (7, 3)]
+
+
+def common_runs(texts, min_words=5):
+    """Lines in runs of at least ``min_words`` words that an earlier text has, by comparing all places."""
+    split = [t.split("\n") for t in texts]
+    out = []
+    for k, own in enumerate(split):
+        gone = set()
+        for other in split[:k]:
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[i : i + n]) >= min_words:
+                        gone |= set(range(i, i + n))
+        out.append("\n".join(x for i, x in enumerate(own) if i not in gone))
+    return out
+
+
+def test_repeated_and_moved_blocks(spark, docs):
+    p = "three short words\nand two"
+    texts = ["u\n" + p + "\nv", f"x\n{p}\ny\n{p}\nz", "moved one block of five\nsecond moved block of words", "second moved block of words\nmiddle\nmoved one block of five"]
+    rng = random.Random(4)
+    texts += ["\n".join(rng.choice(["", "p", "q r", "s t u", "v w x y z"]) for _ in range(rng.randrange(1, 9))) + f"\n{k}" for k in range(60)]
+    want = common_runs(texts)
+    assert want[1] == "x\ny\nz" and want[3] == "middle"
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    split = [t.split("\n") for t in texts]
+    for a, b in itertools.product(split[-60:], split[-60:]):  # what an alignment finds is among the runs
+        one, two = (lines.short_runs([np.array([hash(x) for x in t])], [np.array([len(x.split()) for x in t])], 5) for t in (a, b))
+        gone = {i for lo, hi, h in zip(*one[1:], strict=True) if h in two[3] for i in range(lo, hi)}
+        assert gone >= set(lines.blocks(lines.patience_matches(a, b), [len(x.split()) for x in a], 5))
+
+
 # media
 
 def test_media(spark, docs, tmp_path):

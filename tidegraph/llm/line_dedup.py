@@ -1,10 +1,11 @@
-"""Line-level deduplication by pairwise alignment.
-
-Documents that share a rare line with an earlier document are aligned with it by patience diff, and every common
-block of at least ``min_words`` words goes from the later one. Each shared line pairs a document with the earliest
-document that holds it, so the number of pairs follows the number of lines. Whole copies of a text are aligned with
-the first copy at once. A line met more than ``rare`` times isn't used to find pairs; it is a block of its own and
-goes from all but its earliest document when it has ``min_words`` words.
+"""Line-level deduplication by runs of lines.
+
+A block that goes is a run of consecutive lines with at least ``min_words`` words that an earlier document has as
+consecutive lines too, wherever in it and however often. Two families of short runs find all of them: from each line
+on the shortest run with ``min_words`` words, and up to each line the shortest such run. Every line of a common block
+lies in one of them that is inside the block. Each run is hashed and goes from all but the earliest document that
+has it, so nothing hangs on how often a line is met, and no pairs of documents are formed. Any block of aligned lines
+that ``patience_matches`` finds in a pair is such a run. Later whole copies of a text go at once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tidegraph.llm.workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
+BASE = 0x9E3779B97F4A7C15
 
 
 def _anchors(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
@@ -45,8 +48,22 @@ def _anchors(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b:
     return chain[::-1]
 
 
+def _rarest(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
+    """The rarest line common to both ranges, at its middle occurrence in each; nothing if there is none."""
+    ca, cb = Counter(a[lo_a:hi_a]), Counter(b[lo_b:hi_b])
+    common = [(n * cb[h], h) for h, n in ca.items() if h in cb]
+    if not common:
+        return []
+    h = min(common)[1]
+    middle = lambda x, lo, hi, n: [k for k in range(lo, hi) if x[k] == h][n // 2]
+    return [(middle(a, lo_a, hi_a, ca[h]), middle(b, lo_b, hi_b, cb[h]))]
+
+
 def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned equal lines ``(i, j)`` of two line lists by patience diff: equal ends, then unique common lines, again in every gap."""
+    """Aligned equal lines ``(i, j)`` of two line lists by patience diff: equal ends, then unique common lines, again in every gap.
+
+    A gap without such a line is split at its rarest common line, at the middle occurrence in each.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -60,6 +77,8 @@ def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         if lo_a >= hi_a or lo_b >= hi_b:
             continue
         chain = _anchors(a, b, lo_a, hi_a, lo_b, hi_b)
+        if not chain:
+            chain = _rarest(a, b, lo_a, hi_a, lo_b, hi_b)
         if not chain:
             continue
         i, j = lo_a, lo_b
@@ -86,7 +105,27 @@ def blocks(matches: list[tuple[int, int]], words: list[int], min_words: int) ->
     return out
 
 
-def find_repeated_lines(docs: DataFrame, space: Workspace, min_words: int = 5, rare: int = 64) -> DataFrame:
+def short_runs(hashes: list[np.ndarray], words: list[np.ndarray], min_words: int) -> tuple[np.ndarray, ...]:
+    """``doc, lo, hi, h``: of each document the shortest runs ``lo`` to ``hi - 1`` from each line on and up to each line, with their hash."""
+    sizes = np.array([len(x) for x in hashes], np.int64)
+    h = np.concatenate([*hashes, np.empty(0, np.int64)]).astype(np.int64).view(np.uint64)
+    counts = np.concatenate([*words, np.empty(0, np.int64)]).astype(np.int64)
+    at, ends = np.arange(len(h)), np.repeat(np.cumsum(sizes), sizes)
+    begins = ends - np.repeat(sizes, sizes)
+    before = np.r_[0, np.cumsum(counts)]
+    stop = np.searchsorted(before, before[:-1] + min_words)
+    start = np.searchsorted(before, before[1:] - min_words, side="right") - 1
+    forward = stop <= ends
+    backward = (start >= begins) & (stop[np.maximum(start, 0)] != at + 1)  # others are forward runs already
+    lo, hi = np.r_[at[forward], start[backward]], np.r_[stop[forward], at[backward] + 1]
+    # a polynomial in an odd base modulo 2 ** 64, shifted so that it doesn't depend on the place
+    powers, shifts = [np.cumprod(np.r_[np.uint64(1), np.full(len(h), x, np.uint64)], dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    sums = np.r_[np.uint64(0), np.cumsum(h * powers[:-1], dtype=np.uint64)]
+    doc = np.repeat(np.arange(len(sizes)), sizes)[lo]
+    return doc, lo - begins[lo], hi - begins[lo], ((sums[hi] - sums[lo]) * shifts[lo]).view(np.int64)
+
+
+def find_repeated_lines(docs: DataFrame, space: Workspace, min_words: int = 5) -> DataFrame:
     """``doc_id, gone``: the sorted numbers (from 0) of the lines to delete of each document that loses some."""
     texts = docs.where("text is not null and text <> ''").select("doc_id", F.col("text"))
     narrow = space.keep(
@@ -101,29 +140,22 @@ def find_repeated_lines(docs: DataFrame, space: Workspace, min_words: int = 5, r
     first = narrow.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest")).where("latest > first")
     copies = narrow.select("doc_id", "whole", F.size("hashes").alias("n")).join(first, "whole").where("doc_id > first").select("doc_id", F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
 
-    flat = narrow.select("doc_id", F.posexplode(F.arrays_zip("hashes", "words")).alias("pos", "x")).select("doc_id", "pos", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0")
-    shared = space.keep(flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"), F.count("*").alias("n")).where("latest > first").select("h", "first", "n"), "shared")
-    hits = space.keep(flat.join(shared, "h").where("doc_id > first"), "hits")
-    frequent = hits.where(F.col("n") > rare).where(F.col("w") >= min_words).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-
-    copied = copies.select("doc_id")
-    pairs = hits.where(F.col("n") <= rare).select("doc_id", "first").distinct().join(copied, "doc_id", "left_anti")
-    both = pairs.join(narrow.select("doc_id", "hashes", "words"), "doc_id").join(narrow.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier")), "first")
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, mine, words, other in zip(b["doc_id"], b["hashes"], b["words"], b["earlier"], strict=True):
-                if gone := blocks(patience_matches(mine.tolist(), other.tolist()), words.tolist(), min_words):
-                    rows.append((doc, gone))
-            yield pd.DataFrame(rows, columns=["doc_id", "gone"])
-
-    aligned = both.select("doc_id", "hashes", "words", "earlier").mapInPandas(align, "doc_id long, gone array<int>")
-    found = copies.union(frequent).union(aligned)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                b = batch.iloc[k : k + 500]
+                doc, lo, hi, h = short_runs(b["hashes"].tolist(), b["words"].tolist(), min_words)
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "h": h})
+
+    runs = narrow.where("doc_id is not null").select("doc_id", "hashes", "words").mapInPandas(cut, "doc_id long, lo int, hi int, h long")
+    runs = space.keep(runs, "runs")
+    shared = space.keep(runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest")).where("latest > first").select("h", "first"), "shared")
+    repeated = runs.join(shared, "h").where("doc_id > first").select("doc_id", F.sequence("lo", F.col("hi") - 1).alias("gone"))
+    found = copies.union(repeated)
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, rare: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """The documents without repeated lines, with ``n_lines``, ``n_removed`` and ``removed_words``.
 
     All rows stay; a later whole copy keeps an empty text. A null or empty text has no line and stays as it is. Of
@@ -132,9 +164,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, rare: int = 64) -> DataFram
     """
     spark = docs.sparkSession
     space = Workspace(spark, "lines")
-    gone = find_repeated_lines(docs, space, min_words, rare).withColumnRenamed("doc_id", "__doc").withColumnRenamed("gone", "__gone")
+    gone = find_repeated_lines(docs, space, min_words).withColumnRenamed("doc_id", "__doc").withColumnRenamed("gone", "__gone")
     gone = space.keep(gone, "gone")
-    for table in ("lines", "shared", "hits"):
+    for table in ("lines", "runs", "shared"):
         space.drop(table)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "removed_words")]
     lines = F.split("text", "\n")
