@@ -209,13 +209,15 @@ def common_runs(texts, min_words=5):
     return out
 
 
-def test_repeated_and_moved_blocks(spark, docs):
-    p = "three short words\nand two"
+def test_repeated_moved_and_frequent_blocks(spark, docs):
+    p, verse = "three short words\nand two", "roses are\nred violets\nare blue"
     texts = ["u\n" + p + "\nv", f"x\n{p}\ny\n{p}\nz", "moved one block of five\nsecond moved block of words", "second moved block of words\nmiddle\nmoved one block of five"]
+    texts += [f"own text {k}\n{verse}\ntail {k}" for k in range(80)]  # lines met over 64 times, none of 5 words
+    texts += ["a b\nfirst", "c d\nsecond", "e f\nthird", "a b\nc d\ne f\nB", "a b\nc d\ne f\nC"]
     rng = random.Random(4)
     texts += ["\n".join(rng.choice(["", "p", "q r", "s t u", "v w x y z"]) for _ in range(rng.randrange(1, 9))) + f"\n{k}" for k in range(60)]
     want = common_runs(texts)
-    assert want[1] == "x\ny\nz" and want[3] == "middle"
+    assert want[1] == "x\ny\nz" and want[3] == "middle" and want[83] == "own text 79\ntail 79" and want[88] == "C"
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs(list(enumerate(texts)))).collect()}
     assert [got[k] for k in range(len(texts))] == want
     split = [t.split("\n") for t in texts]
