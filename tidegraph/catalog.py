@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, with their SQL.
 
 Graph A hands a user over to the next one of the same event type; graph B joins customers with suppliers of their
-orders. Ids are text in the library and numbers in the results here.
+orders. Ids are text in the library and numbers in the results here. Queries over a window of graph A are there twice:
+over its first hours, and as ``<name>_whole`` over the time span of the whole table.
 """
 
 from __future__ import annotations
@@ -50,9 +51,21 @@ def _numbers(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def _small(spark: SparkSession, sf_dir: str, config: LogConfig = LAYOUTS[1]) -> DataFrame:
+def _span(edges: DataFrame) -> tuple[int, int]:
+    """First and last timestamp; an empty window if there is no edge."""
+    lo, hi = edges.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return (0, -1) if lo is None else (lo, hi)
+
+
+def _edges(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """Graph A from ``START`` to ``END``, or over its whole time span."""
+    edges = graph_a(spark, sf_dir)
+    return window(edges, *(_span(edges) if whole else (START, END)))
+
+
+def _small(spark: SparkSession, sf_dir: str, whole: bool = False, config: LogConfig = LAYOUTS[1]) -> DataFrame:
     """The window's graph with one ``wid``."""
-    return state.weighted_neighbours(window(graph_a(spark, sf_dir), START, END), config).withColumn("wid", F.lit(1).cast("long"))
+    return state.weighted_neighbours(_edges(spark, sf_dir, whole), config).withColumn("wid", F.lit(1).cast("long"))
 
 
 def _one(spark: SparkSession, vertex: str = FROM, more: str = "") -> DataFrame:
@@ -70,6 +83,23 @@ def entry(sql: str | None = None):
     return add
 
 
+def windowed(sql: str):
+    """Adds a query over the window and ``<name>_whole`` over the whole span, whose SQL has no bounds."""
+
+    def add(query):
+        def whole(spark, sf_dir):
+            return query(spark, sf_dir, whole=True)
+
+        whole.__name__ = f"{query.__name__}_whole"
+        bounds = f" WHERE timestamp BETWEEN {START} AND {END}"
+        assert sql.count(bounds) == 1
+        entry(sql)(query)
+        entry(sql.replace(bounds, ""))(whole)
+        return query
+
+    return add
+
+
 @entry(A + "SELECT src_id, dst_id, round(weight, 6) AS weight, timestamp, seq FROM a")
 def s3_edge_decode(spark, sf_dir):
     lines = source.to_edge_json(graph_a(spark, sf_dir))
@@ -146,9 +176,9 @@ def p8_a14_buckets(spark, sf_dir):
     return state.bucket_counts(graph_a(spark, sf_dir), LAYOUTS[4])
 
 
-@entry(A + "SELECT DISTINCT src_id, dst_id FROM w")
-def a1_out_neighbours(spark, sf_dir):
-    return _numbers(state.out_neighbours(window(graph_a(spark, sf_dir), START, END)))
+@windowed(A + "SELECT DISTINCT src_id, dst_id FROM w")
+def a1_out_neighbours(spark, sf_dir, whole=False):
+    return _numbers(state.out_neighbours(_edges(spark, sf_dir, whole)))
 
 
 def _weights(paradigm: int, order: str):
@@ -166,14 +196,14 @@ _weights(2, "t DESC, seq DESC, weight DESC")
 _weights(4, "floor(t / 3600) DESC, seq DESC, weight DESC")
 
 
-@entry(A + "SELECT dst_id AS vertex_id, count(DISTINCT src_id) AS in_degree FROM w GROUP BY dst_id")
-def a3_in_degree(spark, sf_dir):
-    return _numbers(state.in_degree(window(graph_a(spark, sf_dir), START, END)))
+@windowed(A + "SELECT dst_id AS vertex_id, count(DISTINCT src_id) AS in_degree FROM w GROUP BY dst_id")
+def a3_in_degree(spark, sf_dir, whole=False):
+    return _numbers(state.in_degree(_edges(spark, sf_dir, whole)))
 
 
-@entry(A + "SELECT src_id, dst_id, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY src_id), 6) AS weight_sum FROM adj")
-def a4_weight_sum(spark, sf_dir):
-    return _numbers(state.with_weight_sum(_small(spark, sf_dir)).select("src_id", "dst_id", "weight", "weight_sum"))
+@windowed(A + "SELECT src_id, dst_id, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY src_id), 6) AS weight_sum FROM adj")
+def a4_weight_sum(spark, sf_dir, whole=False):
+    return _numbers(state.with_weight_sum(_small(spark, sf_dir, whole)).select("src_id", "dst_id", "weight", "weight_sum"))
 
 
 @entry(A + "SELECT src_id AS vertex_id FROM a UNION SELECT dst_id FROM a")
@@ -210,44 +240,52 @@ def j8_window_join(spark, sf_dir):
     return found.groupBy(F.col("wid").alias("window_id")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))
 
 
+@entry(A + ", q AS (SELECT i AS window_id, 3600 * i AS s, 3600 * i + 9000 AS t FROM (SELECT unnest(range((SELECT CAST(max(timestamp) // 3600 + 1 AS BIGINT) FROM a))) AS i) AS r) SELECT window_id, count(*) AS n, round(sum(weight), 4) AS total FROM a JOIN q ON timestamp BETWEEN s AND t GROUP BY window_id")
+def j8_window_join_whole(spark, sf_dir):
+    edges = graph_a(spark, sf_dir)
+    asked = spark.range(_span(edges)[1] // 3600 + 1).select(F.col("id").alias("wid"), (F.col("id") * 3600).alias("start_t"), (F.col("id") * 3600 + 9000).alias("end_t"))
+    found = windows.window_edges(edges, asked, LAYOUTS[4])
+    return found.groupBy(F.col("wid").alias("window_id")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))
+
+
 REACH = A + """, reach(id) AS (SELECT 8 WHERE EXISTS (SELECT 1 FROM adj WHERE src_id = 8) UNION SELECT adj.dst_id FROM reach JOIN adj ON adj.src_id = reach.id)"""
 
 
-@entry(REACH + " SELECT (SELECT min(id) FROM reach) AS component_id, id AS member_id FROM reach")
-def g1_connected_components(spark, sf_dir):
-    return _numbers(graph.component_of(graph.reachable(_small(spark, sf_dir), _one(spark))).select("component_id", "member_id"))
+@windowed(REACH + " SELECT (SELECT min(id) FROM reach) AS component_id, id AS member_id FROM reach")
+def g1_connected_components(spark, sf_dir, whole=False):
+    return _numbers(graph.component_of(graph.reachable(_small(spark, sf_dir, whole), _one(spark))).select("component_id", "member_id"))
 
 
-@entry(A + """, both_ways AS (SELECT src_id, dst_id FROM adj UNION SELECT dst_id, src_id FROM adj),
+@windowed(A + """, both_ways AS (SELECT src_id, dst_id FROM adj UNION SELECT dst_id, src_id FROM adj),
 reach(id) AS (SELECT 8 WHERE EXISTS (SELECT 1 FROM both_ways WHERE src_id = 8) UNION SELECT m.dst_id FROM reach JOIN both_ways m ON m.src_id = reach.id)
 SELECT (SELECT min(id) FROM reach) AS component_id, id AS member_id FROM reach""")
-def g1_undirected_components(spark, sf_dir):
-    return _numbers(graph.component_of(graph.reachable(_small(spark, sf_dir), _one(spark), directed=False)).select("component_id", "member_id"))
+def g1_undirected_components(spark, sf_dir, whole=False):
+    return _numbers(graph.component_of(graph.reachable(_small(spark, sf_dir, whole), _one(spark), directed=False)).select("component_id", "member_id"))
 
 
-@entry(REACH + """, back(id) AS (SELECT 8 WHERE EXISTS (SELECT 1 FROM adj WHERE src_id = 8) UNION SELECT adj.src_id FROM back JOIN adj ON adj.dst_id = back.id),
+@windowed(REACH + """, back(id) AS (SELECT 8 WHERE EXISTS (SELECT 1 FROM adj WHERE src_id = 8) UNION SELECT adj.src_id FROM back JOIN adj ON adj.dst_id = back.id),
 s AS (SELECT id FROM reach INTERSECT SELECT id FROM back) SELECT (SELECT min(id) FROM s) AS component_id, id AS member_id FROM s""")
-def g2_strong_components(spark, sf_dir):
-    return _numbers(graph.component_of(graph.strongly_connected(_small(spark, sf_dir), _one(spark))).select("component_id", "member_id"))
+def g2_strong_components(spark, sf_dir, whole=False):
+    return _numbers(graph.component_of(graph.strongly_connected(_small(spark, sf_dir, whole), _one(spark))).select("component_id", "member_id"))
 
 
-@entry(A + """, p(id, d) USING KEY (id) AS (SELECT 8, CAST(0 AS DOUBLE) UNION SELECT adj.dst_id, min(p.d + adj.weight) FROM p JOIN adj ON adj.src_id = p.id LEFT JOIN recurring.p AS old ON old.id = adj.dst_id WHERE old.d IS NULL OR p.d + adj.weight < old.d GROUP BY adj.dst_id)
+@windowed(A + """, p(id, d) USING KEY (id) AS (SELECT 8, CAST(0 AS DOUBLE) UNION SELECT adj.dst_id, min(p.d + adj.weight) FROM p JOIN adj ON adj.src_id = p.id LEFT JOIN recurring.p AS old ON old.id = adj.dst_id WHERE old.d IS NULL OR p.d + adj.weight < old.d GROUP BY adj.dst_id)
 SELECT id AS target_id, round(d, 6) AS distance FROM p WHERE id <> 8""")
-def g3_shortest_paths(spark, sf_dir):
-    return _numbers(graph.shortest_paths(_small(spark, sf_dir), _one(spark)).select("target_id", "distance"))
+def g3_shortest_paths(spark, sf_dir, whole=False):
+    return _numbers(graph.shortest_paths(_small(spark, sf_dir, whole), _one(spark)).select("target_id", "distance"))
 
 
-@entry(A + """, t AS (SELECT 1 AS hop, src_id, dst_id, [src_id] AS path FROM adj WHERE src_id = 8
+@windowed(A + """, t AS (SELECT 1 AS hop, src_id, dst_id, [src_id] AS path FROM adj WHERE src_id = 8
 UNION ALL SELECT t.hop + 1, adj.src_id, adj.dst_id, list_append(t.path, adj.src_id) FROM t JOIN adj ON adj.src_id = t.dst_id WHERE t.hop < 3 AND NOT list_contains(t.path, adj.dst_id))
 SELECT hop, src_id, dst_id FROM t""")
-def g4_full_expansion(spark, sf_dir):
-    return _numbers(graph.sampled_tree(_small(spark, sf_dir), _one(spark, more=f", 1000000 h, {HOPS} k")).select("hop", "src_id", "dst_id"))
+def g4_full_expansion(spark, sf_dir, whole=False):
+    return _numbers(graph.sampled_tree(_small(spark, sf_dir, whole), _one(spark, more=f", 1000000 h, {HOPS} k")).select("hop", "src_id", "dst_id"))
 
 
-@entry(A + """, one AS (SELECT *, row_number() OVER (ORDER BY md5('0>8>' || dst_id), CAST(dst_id AS VARCHAR)) AS r FROM adj WHERE src_id = 8)
+@windowed(A + """, one AS (SELECT *, row_number() OVER (ORDER BY md5('0>8>' || dst_id), CAST(dst_id AS VARCHAR)) AS r FROM adj WHERE src_id = 8)
 SELECT src_id, dst_id FROM one WHERE r <= 2""")
-def o3_seeded_sample(spark, sf_dir):
-    return _numbers(graph.sampled_tree(_small(spark, sf_dir), _one(spark, more=", 2 h, 1 k")).select("src_id", "dst_id"))
+def o3_seeded_sample(spark, sf_dir, whole=False):
+    return _numbers(graph.sampled_tree(_small(spark, sf_dir, whole), _one(spark, more=", 2 h, 1 k")).select("src_id", "dst_id"))
 
 
 def _pagerank_sql() -> str:
@@ -262,38 +300,42 @@ r{i} AS (SELECT id, (1 - CAST(0.85 AS DOUBLE)) + CAST(0.85 AS DOUBLE) * coalesce
     return sql
 
 
-@entry(_pagerank_sql() + f", everyone AS (SELECT src_id AS vertex_id FROM a UNION SELECT dst_id FROM a) SELECT vertex_id, round(rank, 6) AS rank FROM everyone LEFT JOIN r{ROUNDS} ON id = vertex_id")
-def g5_j5_pagerank(spark, sf_dir):
-    ranks = graph.pagerank(_small(spark, sf_dir), spark.sql(f"SELECT 1L wid, {ROUNDS} iterations")).where(F.col("iteration") == ROUNDS)
+@windowed(_pagerank_sql() + f", everyone AS (SELECT src_id AS vertex_id FROM a UNION SELECT dst_id FROM a) SELECT vertex_id, round(rank, 6) AS rank FROM everyone LEFT JOIN r{ROUNDS} ON id = vertex_id")
+def g5_j5_pagerank(spark, sf_dir, whole=False):
+    ranks = graph.pagerank(_small(spark, sf_dir, whole), spark.sql(f"SELECT 1L wid, {ROUNDS} iterations")).where(F.col("iteration") == ROUNDS)
     return _numbers(state.vertex_ids(graph_a(spark, sf_dir)).join(ranks, "vertex_id", "left").select("vertex_id", "rank"))
 
 
-@entry(_pagerank_sql() + " SELECT count(*) AS n, round(sum(rank), 4) AS total FROM r1")
-def a5_first_round(spark, sf_dir):
-    ranks = graph.pagerank(_small(spark, sf_dir), spark.sql("SELECT 1L wid, 1 iterations"))
+@windowed(_pagerank_sql() + " SELECT count(*) AS n, round(sum(rank), 4) AS total FROM r1")
+def a5_first_round(spark, sf_dir, whole=False):
+    ranks = graph.pagerank(_small(spark, sf_dir, whole), spark.sql("SELECT 1L wid, 1 iterations"))
     return ranks.agg(F.count("*").alias("n"), F.round(F.sum("rank"), 4).alias("total"))
 
 
-@entry(REACH + " SELECT id AS vertex_id FROM (SELECT src_id AS id FROM adj UNION SELECT dst_id FROM adj) v WHERE id NOT IN (SELECT id FROM reach)")
-def e2_p12_unreached(spark, sf_dir):
-    g = _small(spark, sf_dir)
+@windowed(REACH + " SELECT id AS vertex_id FROM (SELECT src_id AS id FROM adj UNION SELECT dst_id FROM adj) v WHERE id NOT IN (SELECT id FROM reach)")
+def e2_p12_unreached(spark, sf_dir, whole=False):
+    g = _small(spark, sf_dir, whole)
     members = graph.reachable(g, _one(spark)).select(F.col("member_id").alias("vertex_id"))
     return _numbers(state.vertex_ids(g).join(members, "vertex_id", "left_anti"))
 
 
-def _batch(spark: SparkSession) -> DataFrame:
-    rows = [("1", "8", "connected-components", 0, 7200, None), ("2", "8", "connected-components", 0, 14400, None), ("3", "8", "strongly-connected-components", 0, 14400, None), ("4", "8", "single-source-shortest-path", 0, 7200, None), ("5", "8", "gnn-sampling", 0, 7200, {"h": "1000", "k": "2"}), ("6", "all", "pagerank", 0, 7200, {"iterations": "2"}), ("7", "8", "connected-components", 9, 3, None), ("8", "8", "triangles", 0, 9, None), ("9", "8", "pagerank", 0, 9, {"iterations": "2"}), ("10", "8", "gnn-sampling", 0, 9, {"h": "0", "k": "2"})]
+def _batch(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Ten queries, those that can be answered over the time span of all edges."""
+    lo, hi = _span(edges)
+    rows = [("1", "8", "connected-components", lo, hi, None), ("2", "8", "connected-components", lo, hi, None), ("3", "8", "strongly-connected-components", lo, hi, None), ("4", "8", "single-source-shortest-path", lo, hi, None), ("5", "8", "gnn-sampling", lo, hi, {"h": "1000", "k": "2"}), ("6", "all", "pagerank", lo, hi, {"iterations": "2"}), ("7", "8", "connected-components", 9, 3, None), ("8", "8", "triangles", 0, 9, None), ("9", "8", "pagerank", 0, 9, {"iterations": "2"}), ("10", "8", "gnn-sampling", 0, 9, {"h": "0", "k": "2"})]
     return spark.createDataFrame([(q, "1", v, t, s, e, p) for q, v, t, s, e, p in rows], "query_id string, user_id string, vertex_id string, query_type string, start_t long, end_t long, parameter_map map<string,string>")
 
 
 @entry("SELECT CAST(q AS BIGINT) AS query_id, s AS status FROM (VALUES (1, 'ok'), (2, 'ok'), (3, 'ok'), (4, 'ok'), (5, 'ok'), (6, 'ok'), (7, 'isolated'), (8, 'error'), (9, 'error'), (10, 'error')) AS t(q, s)")
 def p6_p7_p9_engine_status(spark, sf_dir):
-    return _numbers(Engine(LAYOUTS[1]).answer(graph_a(spark, sf_dir), _batch(spark)).select("query_id", "status"))
+    edges = graph_a(spark, sf_dir)
+    return _numbers(Engine(LAYOUTS[1]).answer(edges, _batch(spark, edges)).select("query_id", "status"))
 
 
 @entry()
 def k1_f1_result_records(spark, sf_dir):
-    answers = Engine(LAYOUTS[1]).answer(graph_a(spark, sf_dir), _batch(spark))
+    edges = graph_a(spark, sf_dir)
+    answers = Engine(LAYOUTS[1]).answer(edges, _batch(spark, edges))
     return answers.select(*text.egress(F.col("result"), F.lit(0)))
 
 
