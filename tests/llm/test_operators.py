@@ -162,6 +162,20 @@ def test_neighbours(spark):
     assert near.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_audit_counts_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    big = rng.normal(size=16) + 0.01 * rng.normal(size=(200, 16))
+    pairs = np.repeat(rng.normal(size=(20, 16)), 2, axis=0) + 0.001 * rng.normal(size=(40, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*big, *pairs])], "vec_id long, embedding array<double>")
+    nodes = near.clean_vectors(rows)
+    label = spark.createDataFrame([(i, 0) for i in range(200)], "node long, component long")  # no pair is found
+    assert near.missed_share(nodes, label, 0.99, 256, 1) > 0.1
+    monkeypatch.setattr(near, "TURNS", 1)
+    monkeypatch.setattr(near, "missed_share", lambda *_: 0.5)
+    with pytest.raises(RuntimeError):
+        near.near_duplicates(rows).count()
+
+
 # lines
 
 def test_patience():

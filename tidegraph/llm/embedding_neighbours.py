@@ -3,7 +3,8 @@
 The neighbour graph starts from blocks of vectors with like sign codes and is refined by local joins: whatever two
 neighbours of one vector are, they are compared with each other. The search runs on 8-bit copies of the vectors;
 links are decided in double precision on the vectors themselves. A list that is full of links is enlarged. An audit
-compares a bounded sample with all vectors; below the wanted recall the search goes on with new codes. Inside a
+compares a bounded sample with all vectors; below the wanted recall the search goes on with new codes, and raises
+when that doesn't help. Beyond ``GROWS`` vectors every doubling adds a code and a round. Inside a
 component the links are at last counted exactly, block by block, so groups larger than any list lose nothing.
 """
 
@@ -21,6 +22,8 @@ from tidegraph.llm.workspace import Workspace, components
 GRAPH = "a long, b long, s float"
 #: How far the cosine of the 8-bit copies may lie below that of the vectors.
 MARGIN = 0.03
+#: Vectors from which on codes and rounds grow, and the turns after which a search that misses its recall raises.
+GROWS, TURNS = 1 << 16, 8
 
 
 def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
@@ -148,7 +151,10 @@ def _links(graph: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
 
 
 def missed_share(nodes: DataFrame, label: DataFrame, cosine: float, sample: int, seed: int) -> float:
-    """Of the links of a bounded sample of vectors, compared with all, the share that joins different components."""
+    """Of the linked vectors of a bounded sample, compared with all, the share with a link that joins different components.
+
+    Each vector counts once, so a large group doesn't hide what small ones miss.
+    """
     picked = nodes.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("vec_id", "v").toPandas()
     if not len(picked):
         return 0.0
@@ -166,7 +172,7 @@ def missed_share(nodes: DataFrame, label: DataFrame, cosine: float, sample: int,
     of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    n, missed = joined.agg(F.count("*"), F.count(F.when(apart, 1))).first()
+    n, missed = joined.groupBy("a").agg(F.max(apart).alias("missed")).agg(F.count("*"), F.count(F.when(F.col("missed"), 1))).first()
     return missed / n if n else 0.0
 
 
@@ -228,7 +234,9 @@ def _no_rows(space: Workspace, schema: str) -> DataFrame:
 def _search(nodes: DataFrame, space: Workspace, tag: str, cosine: float, k: int, codes: int, bits: int, block: int, rounds: int, recall: float, sample: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``node, component`` and ``node, partners`` of vectors of one length."""
     graph = label = None
-    for turn in range(3):
+    more = max(0, (nodes.count() // GROWS).bit_length())
+    codes, rounds = codes + more, rounds + more
+    for turn in range(TURNS):
         fresh = graph
         for c in range(codes):
             part = _coded(nodes, seed + 1000 * turn + c, bits, block, k)
@@ -246,4 +254,6 @@ def _search(nodes: DataFrame, space: Workspace, tag: str, cosine: float, k: int,
         label = space.keep(components(links, space, f"{tag}cc{turn}-"), f"{tag}label{turn}")
         if 1 - missed_share(nodes, label, cosine, sample, seed + turn) >= recall:
             break
+    else:
+        raise RuntimeError(f"recall stays below {recall} after {TURNS} turns")
     return label, space.keep(_counted(nodes, label, cosine, 512), f"{tag}counts")
