@@ -413,3 +413,9 @@ def test_jaccard(spark, docs, width, percent):
     assert jac.jaccard_components(docs([]), width, percent).count() == 0
     odd = jac.jaccard_components(docs(ODD), width, percent).collect()
     assert len(odd) == len(ODD) and [r.component_id for r in odd if r.doc_id is None] == [None]
+
+
+def test_language_of_few_texts(spark, docs):
+    few = spark.range(20_000).selectExpr("id AS doc_id", "concat('wenige verschiedene worte ', CAST(id % 2 AS string)) AS text", "'de' AS lang")
+    some = spark.range(20_000, 20_060).selectExpr("id AS doc_id", "concat('plain english words ', CAST(id AS string)) AS text", "'en' AS lang")
+    assert lang.train_language_net(few.union(some), steps=2).langs == ["de", "en"]
