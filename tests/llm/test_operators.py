@@ -375,7 +375,7 @@ def test_shards(spark, docs):
 
 # n-grams
 
-@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("width, percent", [(3, 50), (3, 67), (5, 80), (3, 90), (3, 100)])
 def test_jaccard(spark, docs, width, percent):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(4000)]
@@ -415,6 +415,15 @@ def test_jaccard(spark, docs, width, percent):
     assert len(odd) == len(ODD) and [r.component_id for r in odd if r.doc_id is None] == [None]
 
 
+def test_parity_bits():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)])
+        bits = jac.differing_bits(jac.parity_bits(a), jac.parity_bits(b))
+        assert bits <= len(np.setxor1d(a, b)) and jac.differing_bits(jac.parity_bits(a), jac.parity_bits(a)) == 0
+
+
 def test_language_of_few_texts(spark, docs):
     few = spark.range(20_000).selectExpr("id AS doc_id", "concat('wenige verschiedene worte ', CAST(id % 2 AS string)) AS text", "'de' AS lang")
     some = spark.range(20_000, 20_060).selectExpr("id AS doc_id", "concat('plain english words ', CAST(id AS string)) AS text", "'en' AS lang")

@@ -3,7 +3,8 @@
 Two shingle sets of Jaccard at least ``t`` share a token among the first ``n - ceil(t n) + 1`` of each, whatever
 the order of the tokens. Three orders are used: one that puts tokens often met in the corpus last, and two by
 independent hashes. A pair is a candidate if it shares a prefix token under all three; only then the whole sets are
-compared, exactly.
+compared, exactly. Before that a parity bitmap of each set, about two bits a token, bounds how much the two differ:
+tokens of one set only flip bits, so bitmaps never differ in more places than the sets do.
 
 Equal sets form one class, which is linked through its smallest document. Among the documents of one prefix token
 of the first order, all are first compared with the smallest; what is then still apart is compared pair by pair,
@@ -95,11 +96,29 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap with one bit for each residue of the hash, set where an odd number of tokens falls; 2 to 4 bits a token.
+
+    Its length is a power of two, so a longer one folds to the length of a shorter one.
+    """
+    size = max(64, 1 << int(2 * len(tokens)).bit_length())
+    at = (_mix(tokens, 0x2545F491) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """In how many places two parity bitmaps differ, at the length of the shorter; at most the sets' symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, same, p1, p2, p3``: ``same`` is equal for equal sets, the others are prefixes under the three orders.
+    """``doc_id, n, same, p1, p2, p3, bits``: ``same`` is equal for equal sets, the next are prefixes under the three orders.
 
     Each prefix holds n - ceil(t n) + 1 tokens, of which linked sets share one. ``p1`` is in its order; ``p2`` and
-    ``p3`` keep 32 bits.
+    ``p3`` keep 32 bits. ``bits`` is the parity bitmap.
     """
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
@@ -114,30 +133,25 @@ def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
             for doc, tokens in zip(part["doc_id"], sets, strict=True):
                 n = len(tokens)
                 if not n:
-                    rows.append((doc, 0, None, [], [], []))
+                    rows.append((doc, 0, None, [], [], [], None))
                     continue
                 spare = n - (percent * n + 99) // 100
                 first, second, third = [np.partition(o[at : at + n], spare)[: spare + 1].view(np.int64) for o in orders]
-                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), np.sort(first.view(np.uint64)).view(np.int64), (second >> 32).astype(np.int32), (third >> 32).astype(np.int32)))
+                rows.append((doc, n, xxhash.xxh3_128_digest(tokens.tobytes()), np.sort(first.view(np.uint64)).view(np.int64), (second >> 32).astype(np.int32), (third >> 32).astype(np.int32), parity_bits(tokens)))
                 at += n
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "p1", "p2", "p3"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "same", "p1", "p2", "p3", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n long, same binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n long, same binary, p1 array<long>, p2 array<int>, p3 array<int>, bits binary")
 
 
-def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, tokens, long_prefix``: whole sets, and under the second order the first 5 spare + 1 tokens, of which
-    linked sets share 4 spare + 1 at least, by the smaller spare; 32 bits of each."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, tokens``: whole sets."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sets in _blocks(batches, width):
-            prefixes = []
-            for tokens in sets:
-                size = 5 * (len(tokens) - (percent * len(tokens) + 99) // 100) + 1
-                prefixes.append((np.sort(_mix(tokens, 0x5851F42D))[:size].view(np.int64) >> 32).astype(np.int32))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": [x.view(np.int64) for x in sets], "long_prefix": prefixes})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": [x.view(np.int64) for x in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(build, "doc_id long, tokens array<long>, long_prefix array<int>")
+    return docs.select("doc_id", "text").mapInPandas(build, "doc_id long, tokens array<long>")
 
 
 def _comparable(percent: int):
@@ -155,25 +169,19 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
-def _filtered(pairs: DataFrame, sigs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of pairs ``a, b`` of documents among ``ids`` those that share prefix tokens under the other orders as well."""
-    sigs = only(sigs.select("doc_id", "p2", "p3"), ids, "doc_id")
-    mine = sigs.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    other = sigs.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    return pairs.join(mine, "a").join(other, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
+def _filtered(pairs: DataFrame, sigs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``a, b`` of documents among ``ids`` those that share prefix tokens under the other orders as well and
+    whose bitmaps differ in no more places than linked sets may."""
+    sigs = only(sigs.where("n > 0").select("doc_id", "n", "p2", "p3", "bits"), ids, "doc_id")
+    side = lambda c: sigs.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p2", "p3", "bits")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3"))
 
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            apart = np.array([differing_bits(*both) for both in zip(x["a_bits"], x["b_bits"], strict=True)], np.int64)
+            yield x.loc[apart * (100 + percent) <= x["size"].to_numpy() * (100 - percent), ["a", "b"]]
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs those that share as many tokens of the long prefix as linked sets must.
-
-    Different tokens of equal 32 bits may let a pair pass; where they collide inside a set, the bound falls by that.
-    """
-    mine = sets.select(F.col("doc_id").alias("a"), F.array_distinct("long_prefix").alias("pa"), F.size("long_prefix").alias("na"))
-    other = sets.select(F.col("doc_id").alias("b"), F.array_distinct("long_prefix").alias("pb"), F.size("long_prefix").alias("nb"))
-    both = pairs.join(mine, "a").join(other, "b")
-    lost = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-    least = F.floor((F.least("na", "nb") - 1) / 5) * 4 + 1
-    return both.where(F.size(F.array_intersect("pa", "pb")) + lost >= least).select("a", "b")
+    return met.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("size"), "a_bits", "b_bits").mapInPandas(bound, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,15 +220,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
 
     def candidates(pairs: DataFrame, name: str) -> DataFrame:
         pairs = space.keep(pairs, f"{name}-pairs")
-        return space.keep(_filtered(pairs, sigs, ids_of(pairs, f"{name}-pair")), f"{name}-candidates")
+        found = space.keep(_filtered(pairs, sigs, ids_of(pairs, f"{name}-pair"), percent), f"{name}-candidates")
+        space.drop(f"{name}-pairs")
+        space.drop(f"{name}-pair-ids")
+        return found
 
-    def linked(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The links among candidate pairs."""
-        if sets is None:
-            pairs = candidates(pairs, name)
-            sets = space.keep(_sets(only(docs, ids_of(pairs, f"{name}-candidate"), "doc_id"), width, percent), f"{name}-sets")
-        likely = space.keep(_likely(pairs, sets), f"{name}-likely")
-        links = space.keep(_verified(likely, only(sets, ids_of(likely, f"{name}-likely"), "doc_id"), percent), f"{name}-links")
+        sets = space.keep(_sets(only(docs, ids_of(pairs, f"{name}-candidate"), "doc_id"), width), f"{name}-sets")
+        links = space.keep(_verified(pairs, sets, percent), f"{name}-links")
         space.drop(f"{name}-sets")
         return links
 
@@ -231,7 +239,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     kept = space.keep(shared.select("token", "doc_id", "n", "place", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa")), "kept")
 
     star = kept.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").withColumnRenamed("place", "pb").where(_comparable(percent) & _in_time(percent)).select("a", "b").distinct()
-    stars = linked(star, "star")
+    stars = linked(candidates(star, "star"), "star")
     label = components(stars, space, "first")
 
     # what is still apart among the documents of a token, by slots: sizes within the ratio meet in one slot at least
@@ -240,29 +248,30 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     # most tokens stand in one component alone by now
     torn = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     torn = space.keep(placed.join(torn, "token"), "torn")
+    space.drop("kept")
     apart = torn.select("token", "doc_id", "n", "place", "component", F.explode(F.array(size_class, size_class + 1)).alias("slot"))
     mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size")
     apart = space.keep(apart.join(mixed, ["token", "slot"]), "apart")
+    space.drop("torn")
     few = candidates(_met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent), "few")
     # documents that crowd at a token: their own exact counts give an order with the rarest tokens first
     crowded = space.keep(apart.where(F.col("size") > crowd).select("doc_id", "n", "component").distinct(), "crowded")
-    rest_ids = space.keep(_ids(few).union(crowded.select("doc_id")).distinct(), "rest-ids")
-    rest_sets = space.keep(_sets(only(docs, rest_ids, "doc_id"), width, percent), "rest-sets")
-    own = rest_sets.join(crowded, "doc_id").select("doc_id", "n", "component", F.explode("tokens").alias("token"))
+    space.drop("apart")
+    own = space.keep(_sets(only(docs, crowded.select("doc_id").distinct(), "doc_id"), width), "crowded-sets").join(crowded, "doc_id").select("doc_id", "n", "component", F.explode("tokens").alias("token"))
     often = own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = own.join(often, "token")
     # tokens that no other crowded document has come first and fill the prefix without meeting anything
     alone = F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
     placed = met.withColumn("place", alone + F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) - 1)
     prefix = space.keep(placed.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("doc_id", "n", "component", "token", "place"), "prefix")
-    many = _filtered(space.keep(_met(prefix, ["token"], percent), "many-pairs"), sigs, crowded.select("doc_id").distinct())
-    rests = linked(few.union(many).distinct(), "rest", rest_sets)
-    for table in ("kept", "torn", "apart"):
-        space.drop(table)
-    label = space.keep(components(stars.union(rests), space, "second"), "labels")
+    space.drop("crowded-sets")
+    many = candidates(_met(prefix, ["token"], percent), "many")
+    space.drop("prefix")
+    rows = space.keep(sigs.select("doc_id", "n", "same"), "rows")
+    space.drop("signatures")
+    label = space.keep(components(stars.union(linked(few.union(many).distinct(), "rest")), space, "second"), "labels")
 
     by_class = class_of.join(label.withColumnRenamed("node", "head"), "head", "left").select("same", F.coalesce("component", "head").alias("component"))
-    rows = sigs.select("doc_id", "n", "same")
     out = rows.join(by_class, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
