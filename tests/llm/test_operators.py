@@ -205,21 +205,23 @@ def test_patience_without_unique_lines():
     assert [(i, j) for i, j in lines.patience_matches([7, *p, 8, *p, 9], [5, *p, 6]) if j in (1, 2, 3)] == [(5, 1), (6, 2), (7, 3)]
 
 
-def common_runs(texts, min_words=5):
-    """Lines in runs of at least ``min_words`` words that an earlier text has, by comparing all places."""
-    split = [t.split("\n") for t in texts]
+def common_runs(rows, min_words=5):
+    """Texts without the lines in runs of at least ``min_words`` words that the text of a smaller doc_id has, by comparing all places."""
+    split = [(i, t.split("\n")) for i, t in rows]
     out = []
-    for k, own in enumerate(split):
+    for i, own in split:
         gone = set()
-        for other in split[:k]:
-            for i in range(len(own)):
-                for j in range(len(other)):
+        for other in [x for j, x in split if j < i]:
+            if own == other:
+                gone |= set(range(len(own)))
+            for x in range(len(own)):
+                for y in range(len(other)):
                     n = 0
-                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                    while x + n < len(own) and y + n < len(other) and own[x + n] == other[y + n]:
                         n += 1
-                    if sum(len(x.split()) for x in own[i : i + n]) >= min_words:
-                        gone |= set(range(i, i + n))
-        out.append("\n".join(x for i, x in enumerate(own) if i not in gone))
+                    if sum(len(w.split()) for w in own[x : x + n]) >= min_words:
+                        gone |= set(range(x, x + n))
+        out.append("\n".join(w for k, w in enumerate(own) if k not in gone))
     return out
 
 
@@ -228,17 +230,33 @@ def test_repeated_moved_and_frequent_blocks(spark, docs):
     texts = ["u\n" + p + "\nv", f"x\n{p}\ny\n{p}\nz", "moved one block of five\nsecond moved block of words", "second moved block of words\nmiddle\nmoved one block of five"]
     texts += [f"own text {k}\n{verse}\ntail {k}" for k in range(80)]  # lines met over 64 times, none of 5 words
     texts += ["a b\nfirst", "c d\nsecond", "e f\nthird", "a b\nc d\ne f\nB", "a b\nc d\ne f\nC"]
+    texts += ["aa bb cc", "dd ee ff", "aa bb cc\ndd ee ff", "aa bb cc\ndd ee ff"]  # first holders of the lines, then of the block
     rng = random.Random(4)
     texts += ["\n".join(rng.choice(["", "p", "q r", "s t u", "v w x y z"]) for _ in range(rng.randrange(1, 9))) + f"\n{k}" for k in range(60)]
-    want = common_runs(texts)
-    assert want[1] == "x\ny\nz" and want[3] == "middle" and want[83] == "own text 79\ntail 79" and want[88] == "C"
-    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(list(enumerate(texts)))).collect()}
-    assert [got[k] for k in range(len(texts))] == want
+    rows = list(enumerate(texts))
+    # versions of one document: each loses what earlier documents have, and nothing to the other
+    rows += [(500, "only here and nowhere else so\nroses are\nred violets\nare blue"), (500, "five words of one version\nfive words of one version"), (500, "five words of one version\nprecious unique line nobody has"), (501, "x y\nfive words of one version")]
+    want = common_runs(rows)
+    assert want[1] == "x\ny\nz" and want[3] == "middle" and want[83] == "own text 79\ntail 79" and want[88] == "C" and want[92] == ""
+    assert want[-4:] == ["only here and nowhere else so", rows[-3][1], rows[-2][1], "x y"]
+    got = lines.dedup_lines(docs(rows).selectExpr("*", "'x' AS __gone", "'x' AS key", "'x' AS drop", "doc_id AS __doc")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t) for (i, _), t in zip(rows, want, strict=True))
     split = [t.split("\n") for t in texts]
-    for a, b in itertools.product(split[-60:], split[-60:]):  # what an alignment finds is among the runs
-        one, two = (lines.short_runs([np.array([hash(x) for x in t])], [np.array([len(x.split()) for x in t])], 5) for t in (a, b))
-        gone = {i for lo, hi, h in zip(*one[1:], strict=True) if h in two[3] for i in range(lo, hi)}
-        assert gone >= set(lines.blocks(lines.patience_matches(a, b), [len(x.split()) for x in a], 5))
+    for a, b in itertools.product(split[-60:], split[-60:]):  # an alignment through every shared run finds all that runs show, and no more
+        (ha, wa), (hb, wb) = ((np.array([hash(x + ".") for x in t]), np.array([len(x.split()) for x in t])) for t in (a, b))
+        one, two = lines.short_runs([ha], [wa], 5), lines.short_runs([hb], [wb], 5)
+        shown = {i for lo, hi, h in zip(*one[1:], strict=True) if h in two[3] for i in range(lo, hi)}
+        assert set(lines.aligned_lines(ha, wa, hb, wb, 5).tolist()) == shown
+
+
+def test_lines_many_holders_and_long_texts(spark, docs):
+    """A line that 65 and 1000 documents have, and a text of very many lines, copied in part."""
+    long = "\n".join(f"line {k} of a very long text" for k in range(8000))
+    rows = [(k, f"own words of text number {k}\nthis line stands in very many documents" + ("\nand this one in a few of them" if k < 65 else "")) for k in range(1000)]
+    rows += [(2000, long), (2001, "a start of its own here\n" + long[: len(long) // 2].rsplit("\n", 1)[0] + "\nan end of its own here")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"own words of text number {k}" for k in range(1, 1000))
+    assert got[2000] == long and got[2001] == "a start of its own here\nan end of its own here"
 
 
 # media

@@ -47,6 +47,14 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """The rows of ``df`` whose ``key`` is among ``ids``: by broadcast up to ``most`` counted ids, else by a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
