@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import unicodedata
 import zlib
 
 import duckdb
@@ -125,16 +126,59 @@ def test_language(spark, docs):
     kinds = {"xx": ["bra", "kot", "zil"], "yy": ["mau", "ona", "iel"]}
     rows = [(i, " ".join("".join(rng.choices(kinds[k], k=3)) for _ in range(30)), k, "s") for i in range(90) for k in [["xx", "yy"][i % 2]]]
     frame = docs(rows + [(1000 + i, *r[1:], None, "s") for i, r in enumerate(ODD)])
-    net = lang.train_language_net(frame, steps=150)
+    net = lang.train_language_net(frame, steps=250)
     got = lang.predict_language(frame.selectExpr("*", "'x' AS score"), net).collect()
     assert all(r.lang == r.lang_pred for r in got if r.lang)
     for r in got:
         assert 0 <= r.score <= 1
-        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or ""))
+        assert (r.lang_pred == "und") == (r.score == 0)
     assert lang.train_language_net(docs([])) is None
     assert {r.lang_pred for r in lang.predict_language(frame, None).collect()} == {"und"}
-    one = lang.RunTable(net).classify(["brakotzil"])
-    assert one[0] == ["xx"]
+    signs = docs([(1, "½"), (2, "② 12 Ⅷ"), (3, "½ a"), (4, "_"), (5, "ªº")])
+    assert [r.lang_pred == "und" for r in lang.predict_language(signs, net).orderBy("doc_id").collect()] == [True, True, False, True, False]
+    assert sorted((r.doc_id or 0, r.lang_pred, r.score) for r in got) == sorted((r.doc_id or 0, r.lang_pred, r.score) for r in lang.predict_language(frame.repartition(3), net).collect())
+
+
+def plain_prediction(net, text):
+    """Position by position: both directions over each window, probabilities summed over the positions that count."""
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    n, data = len(w["Uf"]), text.encode()
+    total = np.zeros(len(net.langs))
+
+    def state(d, h, byte):
+        e, u = w["E" + d][byte], w["U" + d]
+        gates = 1 / (1 + np.exp(-(e[: 2 * n] + h @ u[:, : 2 * n])))
+        new = np.tanh(e[2 * n :] + (gates[n:] * h) @ u[:, 2 * n :])
+        return (1 - gates[:n]) * h + gates[:n] * new
+
+    for at in range(0, len(data), lang.CORE):
+        seen = [data[k] if 0 <= k < len(data) else 255 for k in range(at - lang.CONTEXT, at + lang.CORE + lang.CONTEXT)]
+        f, b = [np.zeros(n)], [np.zeros(n)]
+        for k in range(len(seen)):
+            f.append(state("f", f[-1], seen[k]))
+            b.append(state("b", b[-1], seen[-1 - k]))
+        for k in range(lang.CONTEXT, lang.CONTEXT + lang.CORE):
+            if seen[k] != 255:
+                s = np.concatenate([f[k + 1], b[len(seen) - k]]) @ w["V"] + w["c"]
+                total += s - np.log(np.exp(s).sum())
+    p = np.exp(total / len(data) - (total / len(data)).max())
+    return net.langs[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_reads_every_byte(monkeypatch):
+    net = lang.ByteNet.fresh(["aa", "bb", "cc"], 5, 3)
+    reader, rng = lang.Reader(net), random.Random(8)
+    given = ["a", "ab cd", "x" * 95, "y" * 96, "z" * 97, "ä ö 日本 1 2 3 " * 30] + ["".join(rng.choice("abc de\n.é日") for _ in range(rng.randrange(1, 700))) + "a" for _ in range(12)]
+    for at_once in (4096, 5):
+        monkeypatch.setattr(lang, "AT_ONCE", at_once)
+        for t, name, score in zip(given, *reader.classify(given), strict=True):
+            want = plain_prediction(net, t)
+            assert name == want[0] and abs(score - want[1]) < 1e-4
+    first, last = reader.classify(["a" * 500])[1], reader.classify(["a" * 250 + " " + "a" * 249])[1]
+    assert first != last  # a space counts
+    many = reader.classify(["one long text " * 100_000])
+    assert abs(many[1][0] - reader.classify(["one long text " * 10_000])[1][0]) < 1e-3
 
 
 # embeddings

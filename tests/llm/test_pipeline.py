@@ -35,8 +35,32 @@ def test_stages(spark, docs, tmp_path):
 def test_odd_and_empty(spark, docs, tmp_path):
     for name, rows in (("odd", ODD), ("none", [])):
         folder = str(tmp_path / name)
-        docs(rows).write.parquet(f"{folder}/documents.parquet")
-        assert p.run(spark, folder).count() >= 0
+        docs(rows, extra=True).write.parquet(f"{folder}/documents.parquet")
+        frame = spark.read.parquet(f"{folder}/documents.parquet")
+        kept = [r.text for r in p.language_filter(spark, frame, folder).collect()]
+        assert sorted(kept, key=str) == sorted([t for _, t in rows if t and any(map(str.isalpha, t))], key=str)
+        out = p.run(spark, folder).collect()
+        assert {r.n_tokens > 0 for r in out} <= {True}
+    unlabelled = docs([(k, t, None, "s") for k, t in ODD])
+    assert p.language_filter(spark, unlabelled, "").count() == len(ODD)
+    assert p.near_dedup(spark, docs(ODD), "").count() == len(ODD) - 2  # 7 and the two rows of 8 are equal
+    rows = [(None, "words without a number " * 80), (1, "words " * 320), (1, "other words " * 160), (2, None), (3, " ")]
+    mixed = p.source_mix(spark, docs(rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in mixed) == [(0, rows[0][1]), (1, rows[2][1]), (1, rows[1][1])]
+
+
+def test_language_decides(spark, docs):
+    """Texts in a learned language stay; letters that are of none go by the network's score, not by a rule on characters."""
+    rows = [(k, " ".join(f"{'the and of' if k % 2 else 'und der das'} {w}" for w in ("river", "house", "garden", "stone") * 6), ("en" if k % 2 else "de"), "s") for k in range(80)]
+    net = p.train_language_net(docs(rows))
+    scored = {r.doc_id: r for r in p.predict_language(docs(rows), net).collect()}
+    assert all(scored[k].lang_pred == rows[k][2] and scored[k].score >= p.LEAST_SCORE for k in scored)
+    old, p.LEAST_SCORE = p.LEAST_SCORE, 1.01
+    try:
+        assert p.language_filter(spark, docs(rows), "").count() == 0
+    finally:
+        p.LEAST_SCORE = old
+    assert p.language_filter(spark, docs(rows), "").count() == len(rows)
 
 
 def test_decodes(spark, docs):

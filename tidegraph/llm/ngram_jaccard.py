@@ -235,8 +235,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     by_token = Window.partitionBy("token")
     tokens = only(sigs.where("n > 0").select("doc_id", "n", "p1"), heads, "doc_id").select("doc_id", "n", F.posexplode("p1").alias("place", "token"))
     lead = F.min(F.struct("doc_id", "n", "place")).over(by_token)
-    shared = tokens.withColumn("lead", lead).withColumn("hi", F.max("doc_id").over(by_token)).where("lead.doc_id < hi")
-    kept = space.keep(shared.select("token", "doc_id", "n", "place", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa")), "kept")
+    shared = tokens.withColumn("lead", lead).withColumn("hi", F.max("doc_id").over(by_token)).withColumn("df", F.count("*").over(by_token)).where("lead.doc_id < hi")
+    kept = space.keep(shared.select("token", "df", "doc_id", "n", "place", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa")), "kept")
 
     star = kept.where("doc_id > a").withColumnRenamed("doc_id", "b").withColumnRenamed("n", "nb").withColumnRenamed("place", "pb").where(_comparable(percent) & _in_time(percent)).select("a", "b").distinct()
     stars = linked(candidates(star, "star"), "star")
@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
 
     # what is still apart among the documents of a token, by slots: sizes within the ratio meet in one slot at least
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001 + 1e-9))
-    placed = kept.select("token", "doc_id", "n", "place").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # all pairs with a token's first document are compared by now, so tokens of two documents are done
+    placed = kept.where("df > 2 and doc_id <> a").select("token", "doc_id", "n", "place").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # most tokens stand in one component alone by now
     torn = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     torn = space.keep(placed.join(torn, "token"), "torn")
