@@ -15,37 +15,61 @@ from tidegraph.llm.workspace import Workspace
 from tidegraph.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Below this pooled probability of the best language a text is in none of them.
+LEAST_SCORE = 0.4
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
+# Every stage takes any rows: nulls in any column, empty and very long texts, ties, repeated rows, no rows at all. Extra
+# columns of ``documents`` go in the first stage, so their names clash with nothing. What each does with such rows:
+
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters go."""
+    """Documents in one of the learned languages: the network must name one and give it ``LEAST_SCORE`` or more.
+
+    Texts that are null, empty or without a letter go, as they are in no language. Equal texts share their fate,
+    repeated rows stay repeated. If nothing can be learned from (no labelled row), no document goes.
+    """
     docs = docs.select(COLUMNS)
-    return predict_language(docs, train_language_net(docs)).where(F.col("lang_pred") != UNKNOWN).select(COLUMNS)
+    net = train_language_net(docs)
+    if net is None:
+        return docs
+    return predict_language(docs, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks of lines that an earlier document has; documents of which nothing is left go."""
+    """Texts without the blocks of lines that an earlier document has; documents of which nothing is left go.
+
+    Earlier is by doc_id; rows without one neither lose nor delete lines, rows that share one don't delete from each
+    other. A text that was empty or null before stays.
+    """
     left = dedup_lines(docs.select(COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates: word shingles of ``NEAR_WIDTH``, Jaccard from ``NEAR_PERCENT`` on."""
+    """The first document of each component of near duplicates: word shingles of ``NEAR_WIDTH``, Jaccard from ``NEAR_PERCENT`` on.
+
+    First is by doc_id. Rows that repeat a doc_id go or stay together; rows without doc_id or without words stay.
+    """
     others = jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(others.hint("shuffle_hash"), "doc_id", "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; one taken in part counts if at least half of it is taken."""
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = taken.where("doc_id is not null and size > 0").select(F.col("doc_id").alias("__doc"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")).where("__times > 0")
-    mixed = docs.select(COLUMNS).join(times.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(COLUMNS)
+    """Each document as many times as the mix takes it; one taken in part counts if at least half of it is taken.
+
+    Rows are told apart by doc_id and text together, so one without doc_id is mixed like any other; alike rows share
+    what is taken of them evenly. A text without words has nothing to take and goes.
+    """
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    taken = mix_sources(docs.select(key.alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = taken.where("size > 0").select(F.col("doc_id").alias("key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    mixed = docs.select(*COLUMNS, key.alias("key")).join(times.hint("shuffle_hash"), "key")
+    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the SHA-256 of the text decoded from them."""
+    """Token ids of every document, and the SHA-256 of the text decoded from them; a null text counts as empty."""
     out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None, decoded_sha256="decoded_sha256")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
