@@ -9,9 +9,9 @@ repairs its own turns with the costs that enter and leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,36 +52,62 @@ def _moves() -> list[list[list[tuple[int, str, tuple[int, ...]]]]]:
 
 
 MOVES = _moves()
-COSTS = np.array([[[MOVES[r][p][q][0] for q in range(4)] for p in range(4)] for r in range(4)], np.int64)
+Costs = tuple[int, ...]
+#: What a turn does to costs of the states that are 0 at least: the costs after it less their least, that least, and
+#: the best state before each state after. Only few such costs ever occur, so each is worked out once.
+_STEPS: dict[tuple[Costs, int], tuple[Costs, int, Costs]] = {}
 
 
-def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The (min, +) product; also of a row vector and a matrix."""
-    return np.minimum((a[..., :, None] + b).min(-2), FAR)
+def _step(costs: Costs, role: int) -> tuple[Costs, int, Costs]:
+    found = _STEPS.get((costs, role))
+    if found is None:
+        ways = [[costs[p] + MOVES[role][p][q][0] for p in range(4)] for q in range(4)]
+        least = [min(w) for w in ways]
+        low = min(least)
+        found = _STEPS[costs, role] = (tuple([FAR if x >= FAR else x - low for x in least]), min(low, FAR), tuple([w.index(x) for w, x in zip(ways, least, strict=True)]))
+    return found
 
 
-def stretch_costs(roles: list[int]) -> np.ndarray:
+def _levelled(costs: Sequence[int]) -> tuple[Costs, int]:
+    low = min(costs)
+    return tuple([FAR if x >= FAR else x - low for x in costs]), low
+
+
+def multiply(a: Sequence[int], b: Sequence[Sequence[int]]) -> Costs:
+    """The (min, +) product of a row of costs and a matrix."""
+    return tuple([min(FAR, *[a[p] + b[p][q] for p in range(4)]) for q in range(4)])
+
+
+def stretch_costs(roles: Sequence[int]) -> list[Costs]:
     """Cheapest cost from every state before a stretch of turns to every state after it."""
-    out = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
-    for r in roles:
-        out = multiply(out, COSTS[r])
+    out = []
+    for begin in range(4):
+        costs, base = tuple([0 if p == begin else FAR for p in range(4)]), 0
+        for r in roles:
+            costs, more, _ = _step(costs, r)
+            base += more
+        out.append(tuple([FAR if x >= FAR else min(FAR, x + base) for x in costs]))
     return out
 
 
-def repair(roles: list[int], enter: np.ndarray, leave: np.ndarray) -> tuple[list[tuple[int, str, tuple[int, ...]]], int, int]:
+def repair(roles: Sequence[int], enter: Sequence[int], leave: Sequence[int]) -> tuple[list[tuple[int, str, tuple[int, ...]]], int, int]:
     """The cheapest path: (new role, action, inserted roles) of each turn, its cost in all, and the state before it.
 
     ``enter``: costs of the states before the stretch; ``leave``: costs from the states after it to a legal end.
     """
-    costs = [enter]
+    costs, base = _levelled(enter)
+    back = []
     for r in roles:
-        costs.append(multiply(costs[-1], COSTS[r]))
-    state = int(np.argmin(costs[-1] + leave))
-    total = int((costs[-1] + leave)[state])
+        costs, more, best = _step(costs, r)
+        base += more
+        back.append(best)
+    ends = [x + y for x, y in zip(costs, leave, strict=True)]
+    state = ends.index(min(ends))
+    total = base + ends[state]
     out = []
-    for k in range(len(roles) - 1, -1, -1):
-        before = int(np.argmin(costs[k] + COSTS[roles[k]][:, state]))
-        _, action, inserted = MOVES[roles[k]][before][state]
+    for r, best in zip(reversed(roles), reversed(back), strict=True):
+        before = best[state]
+        _, action, inserted = MOVES[r][before][state]
         out.append((state, action, inserted))
         state = before
     return out[::-1], total, state
@@ -98,7 +124,8 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(batch):
             continue
         key = batch["conv_id"].astype("Int64").fillna(-(1 << 62)).to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(batch)]
+        alone = -(1 << 62)
+        cuts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1] or key[k] == alone], len(batch)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part = batch.iloc[lo:hi]
             if held and not _same(held[0], part):
@@ -110,22 +137,43 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    """Rows without conv_id are each a conversation of their own."""
     x, y = a["conv_id"].iloc[0], b["conv_id"].iloc[0]
-    return (pd.isna(x) and pd.isna(y)) or x == y
+    return not pd.isna(x) and not pd.isna(y) and x == y
+
+
+END = "<|end|>\n"
+
+
+def escaped(text: str) -> str:
+    """A text that can't be read as a mark: ``<|`` gets a backslash between, and one more where backslashes stand there."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
+def parsed(chat: str) -> list[tuple[str, str]]:
+    """Roles and texts of a rendered chat; what ``format_chats`` renders reads back as it was."""
+    turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", chat, re.S)
+    return [(role, unescaped(text)) for role, text in turns]
 
 
 def render(role: int, text: str, merged: bool) -> str:
-    """What a turn adds to the rendered chat; its end mark comes with the next turn's or at the end."""
-    return f"\n{text}" if merged else f"<|{NAMES[role]}|>\n{text}"
+    """What a turn adds to the rendered chat; its end mark comes with the next turn that isn't merged, or at the end."""
+    return f"\n{escaped(text)}" if merged else f"<|{NAMES[role]}|>\n{escaped(text)}"
 
 
 def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per given turn: ``conv_id, turn, role, position, new_role, action, inserted, conv_cost, rendered``.
 
-    The rendered pieces of a conversation, in the order of ``position``, join to the repaired chat; a piece holds the
-    inserted empty turns before it. Turns stand in the order of turn, role and text, nulls first; alike rows are alike.
-    An unknown or null role must be relabelled or merged. A null text counts as empty. Rows without conv_id form one
-    conversation. A chat may end after any turn. ``conv_cost`` is the cost of the whole conversation.
+    The rendered pieces of a conversation, in the order of ``position``, join to the repaired chat (``whole_chats``); a
+    piece holds the inserted empty turns before it, the last one the last end mark. Marks inside texts are escaped,
+    and ``parsed`` reads the chat back. Turns stand in the order of turn, role and text, nulls first; alike rows are
+    alike. An unknown or null role must be relabelled or merged. A null text counts as empty; long texts are taken
+    whole. A row without conv_id is a conversation of its own. A chat may end after any turn. ``conv_cost`` is the cost of the
+    whole conversation. Other columns are not read, so their names clash with nothing.
     """
     spark = turns.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -141,37 +189,55 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         found: list[tuple] = []
         for k, rows in enumerate(_stretches(batches)):
             conv = rows["conv_id"].iloc[0]
-            row = (part, k, None if pd.isna(conv) else int(conv), stretch_costs([role_code(r) for r in rows["role"]]).reshape(-1).tolist() if k == 0 else None, rows["role"].tolist() if k else None)
-            found = [*found[:1], row]
-        yield pd.DataFrame([(p, k, c, m if m is not None else stretch_costs([role_code(r) for r in roles]).reshape(-1).tolist()) for p, k, c, m, roles in found], columns=["part", "k", "conv_id", "costs"]).astype({"conv_id": "Int64"})
+            found = [*found[:1], (part, k, None if pd.isna(conv) else int(conv), rows["role"].tolist())]
+        yield pd.DataFrame([(p, k, c, sum(stretch_costs([role_code(r) for r in roles]), ())) for p, k, c, roles in found], columns=["part", "k", "conv_id", "costs"]).astype({"conv_id": "Int64"})
 
     # the first and the last stretch of each partition: two rows at most
-    edges = [(r.part, r.k, r.conv_id, np.array(r.costs, np.int64).reshape(4, 4)) for r in sorted(rows.mapInPandas(outer, "part int, k int, conv_id long, costs array<long>").collect())]
-    begin = np.array([0, FAR, FAR, FAR], np.int64)
-    enter: dict[tuple[int, int], np.ndarray] = {}
-    leave: dict[tuple[int, int], np.ndarray] = {}
-    place: dict[tuple[int, int], bool] = {}
-    for k, (part, at, conv, costs) in enumerate(edges):
-        before = edges[k - 1] if k and edges[k - 1][2] == conv else None
-        enter[part, at] = multiply(enter[before[:2]], before[3]) if before else begin
-        place[part, at] = before is None
+    edges = [(r.part, r.k, r.conv_id, [tuple(r.costs[k : k + 4]) for k in (0, 4, 8, 12)]) for r in sorted(rows.mapInPandas(outer, "part int, k int, conv_id long, costs array<long>").collect(), key=lambda r: (r.part, r.k))]
+    joined = lambda k: 0 < k < len(edges) and edges[k][2] is not None and edges[k - 1][2] == edges[k][2]
+    begin, free = (0, FAR, FAR, FAR), (0, 0, 0, 0)
+    enter: dict[tuple[int, int], Costs] = {}
+    leave: dict[tuple[int, int], Costs] = {}
+    begun, goes_on = set(), set()  # stretches that an earlier partition began, or a later one goes on with
+    for k, (part, at, _, _) in enumerate(edges):
+        enter[part, at] = multiply(enter[edges[k - 1][:2]], edges[k - 1][3]) if joined(k) else begin
+        if joined(k):
+            begun.add((part, at))
     for k in range(len(edges) - 1, -1, -1):
-        part, at, conv, costs = edges[k]
-        after = edges[k + 1] if k + 1 < len(edges) and edges[k + 1][2] == conv else None
-        leave[part, at] = (after[3] + leave[after[:2]]).min(1) if after else np.zeros(4, np.int64)
+        after = edges[k + 1] if joined(k + 1) else None
+        leave[edges[k][:2]] = tuple([min(x + y for x, y in zip(row, leave[after[:2]], strict=True)) for row in after[3]]) if after else free
+        if after:
+            goes_on.add(edges[k][:2])
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, at = TaskContext.get().partitionId(), 0
         for k, rows in enumerate(_stretches(batches)):
-            path, total, _ = repair([role_code(r) for r in rows["role"]], enter.get((part, k), begin), leave.get((part, k), np.zeros(4, np.int64)))
-            first = place.get((part, k), True)
+            path, total, _ = repair([role_code(r) for r in rows["role"]], enter.get((part, k), begin), leave.get((part, k), free))
             pieces = []
             for i, ((role, action, inserted), text) in enumerate(zip(path, rows["text"], strict=True)):
                 merged = action.endswith("merge")
-                piece = "".join([render(x, "", False) + "<|end|>\n" for x in inserted]) + render(role, text if isinstance(text, str) else "", merged)
-                pieces.append(piece if merged or (first and i == 0) else "<|end|>\n" + piece)
-            yield pd.DataFrame({"conv_id": rows["conv_id"].astype("Int64"), "turn": rows["turn"].astype("Int64"), "role": rows["role"], "position": (np.int64(part) << 40) + np.arange(len(rows)), "new_role": [NAMES[p[0]] for p in path], "action": [p[1] for p in path], "inserted": [",".join([NAMES[x] for x in p[2]]) for p in path], "conv_cost": total, "rendered": pieces})
+                piece = "".join([render(x, "", False) + END for x in inserted]) + render(role, text if isinstance(text, str) else "", merged)
+                pieces.append(piece if merged or (i == 0 and (part, k) not in begun) else END + piece)
+            if (part, k) not in goes_on:
+                pieces[-1] += END
+            yield pd.DataFrame({"conv_id": rows["conv_id"].astype("Int64"), "turn": rows["turn"].astype("Int64"), "role": rows["role"], "position": [(part << 40) + at + i for i in range(len(rows))], "new_role": [NAMES[p[0]] for p in path], "action": [p[1] for p in path], "inserted": [",".join([NAMES[x] for x in p[2]]) for p in path], "conv_cost": total, "rendered": pieces})
+            at += len(rows)
 
     return rows.mapInPandas(mend, "conv_id long, turn long, role string, position long, new_role string, action string, inserted string, conv_cost long, rendered string")
+
+
+def whole_chats(pieces: DataFrame, most_chars: int = 1 << 24) -> DataFrame:
+    """One row per conversation of ``format_chats``: ``conv_id, n_turns, conv_cost, n_chars, chat``.
+
+    A conversation of more than ``most_chars`` characters doesn't fit a row: its ``chat`` is null, its pieces are
+    where they were. Rows without conv_id are a conversation each.
+    """
+    key = F.struct("conv_id", F.when(F.col("conv_id").isNull(), F.col("position")).alias("alone"))
+    keyed = pieces.withColumn("key", key)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_turns"), F.max("conv_cost").alias("conv_cost"), F.sum(F.char_length("rendered")).alias("n_chars"))
+    small = sizes.where(F.col("n_chars") <= most_chars).select("key")
+    chats = keyed.join(small, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "rendered"))).alias("all"))
+    chats = chats.select("key", F.array_join("all.rendered", "").alias("chat"))
+    return sizes.join(chats, "key", "left").select("key.conv_id", "n_turns", "conv_cost", "n_chars", "chat")
