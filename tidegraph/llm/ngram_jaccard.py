@@ -26,7 +26,7 @@ from tidegraph.llm.worker_memory import held
 from tidegraph.llm.workspace import Workspace, components, only
 
 CELLS = 1 << 16
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,19 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.worker_memory import held
+from tidegraph.llm.workspace import fresh
 
 SPACE = "▁"
-#: Words longer than this, and words beyond the table's size, are encoded without being remembered.
-CACHED_CHARS, CACHED_WORDS = 48, 150_000
-CACHED_PAIRS = 250_000
+#: Words longer than this are encoded without being remembered.
+CACHED_CHARS = 48
+#: Words, and pairs of tokens, that a worker remembers; those beyond are worked out again.
+CACHED_WORDS, CACHED_PAIRS = 150_000, 250_000
 #: Documents that leave a worker at once.
 BLOCK = 500
 
 
+class Words(dict):
+    """Words to their ids as 32-bit integers; up to ``most`` are remembered."""
+
+    def __init__(self, codec: PieceCodec, most: int):
+        super().__init__()
+        self.codec, self.most = codec, most
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("i", self.codec.encode_word(word)).tobytes()
+        if len(word) <= CACHED_CHARS and len(self) < self.most:
+            self[word] = found
+        return found
+
+
 class PieceCodec:
     """Encoder and decoder for a byte-fallback BPE model whose normaliser is the identity with a dummy prefix."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, words: int = CACHED_WORDS, pairs: int = CACHED_PAIRS):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
@@ -57,7 +74,9 @@ class PieceCodec:
         #: a word starts with spaces or after a character outside the vocabulary
         self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.most_pairs = pairs
+        self.known = Words(self, words)
+        self.numerals = [str(i) for i in range(size)]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.plain.items():
             if self._merge(piece) == [piece]:  # a piece that merging can't reach never ends an encoding
@@ -85,7 +104,7 @@ class PieceCodec:
         if known is None:
             a, b = self.pieces[left], self.pieces[right]
             known = self._merge(a + b) == [a, b]
-            if len(self.pairs) < CACHED_PAIRS:
+            if len(self.pairs) < self.most_pairs:
                 self.pairs[key] = known
         return known
 
@@ -127,81 +146,72 @@ class PieceCodec:
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _word(self, word: str) -> tuple[str, int, bytes]:
-        """Of a word: its ids as text, their number, the decoded bytes."""
-        found = self.known.get(word)
-        if found is None:
-            ids = self.encode_word(word)
-            found = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
-            if len(word) <= CACHED_CHARS and len(self.known) < CACHED_WORDS:
-                self.known[word] = found
-        return found
+    def ids(self, text: str) -> np.ndarray:
+        """The ids, by way of the remembered words."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
         return [i for word in self.split(text) for i in self.encode_word(word)]
 
-    def encode_decode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids, and the text decoded from them, by way of the remembered words."""
-        found = [self.known.get(w) or self._word(w) for w in self.split(text)]
-        ids = np.fromstring(",".join([x[0] for x in found]), np.int32, sep=",") if found else np.empty(0, np.int32)
-        return ids, b"".join([x[2] for x in found])[1:].decode("utf-8", "replace")
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the dummy space goes, byte pieces join to characters, broken bytes read as U+FFFD."""
-        out = b"".join([self.bytes_of[i] for i in ids])
+        out = b"".join(map(self.bytes_of.__getitem__, ids))
         if ids and self.pieces[ids[0]].startswith(SPACE):
             out = out[1:]
         return out.decode("utf-8", "replace")
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        found = [self.known.get(w) or self._word(w) for w in self.split(text)]
-        back = b"".join([x[2] for x in found])[1:]  # the first id starts with the dummy space
-        return (
-            sum([x[1] for x in found]),
-            hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest(),
-            hashlib.sha256(back).hexdigest(),
-        )
+        ids = self.ids(text).tolist()
+        joined = ",".join(map(self.numerals.__getitem__, ids))
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
-def codec(model_file: str) -> PieceCodec:
+def codec(model_file: str, words: int, pairs: int) -> PieceCodec:
     """The codec of a model file that this worker process keeps."""
-    return held(("pieces", model_file), lambda: PieceCodec(model_file))
+    return held(("pieces", model_file, words, pairs), lambda: PieceCodec(model_file, words, pairs))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", decoded_sha256: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", decoded_sha256: str | None = None, remembered: tuple[int, int] = (CACHED_WORDS, CACHED_PAIRS)) -> DataFrame:
     """Adds the ids and, where ``decoded`` and ``decoded_sha256`` name columns, the decoded text of every whole text and its SHA-256.
 
-    A null text counts as empty: no ids, empty text. ``model_file`` must be readable under that name on every
-    executor. Input columns called like the new ones are replaced.
+    A null text counts as empty: no ids, empty text. Whole texts of any length; repeated rows stay. ``model_file`` must be readable under that name on every
+    executor. Input columns called like the new ones are replaced. ``remembered`` bounds the words and pairs of tokens that
+    a worker keeps, which changes its memory and speed only.
     """
+    whole = fresh(docs, "whole_text")
     added = {n: kind for n, kind in ((ids, "array<int>"), (decoded, "string"), (decoded_sha256, "string")) if n}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(model_file)
+        own = codec(model_file, *remembered)
         for batch in batches:
             for k in range(0, len(batch), BLOCK):
                 part = batch.iloc[k : k + BLOCK]
                 new: dict[str, list] = {n: [] for n in added}
-                for t in part["__text"]:
-                    found, back = own.encode_decode(t or "")
+                for t in part[whole]:
+                    found = own.ids(t or "")
                     new[ids].append(found)
+                    back = own.decode(found.tolist()) if len(added) > 1 else ""
                     if decoded:
                         new[decoded].append(back)
                     if decoded_sha256:
                         new[decoded_sha256].append(hashlib.sha256(back.encode()).hexdigest())
-                yield part.drop(columns="__text").assign(**new)
+                yield part.drop(columns=whole).assign(**new)
 
     kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in added]]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema] + [f"`{n}` {kind}" for n, kind in added.items()])
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, fields)
+    return docs.select(*kept, F.col(text).alias(whole)).mapInPandas(run, fields)
 
 
 def encode_digests(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document; as ``encode_texts``, but no list of ids leaves a task."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; as ``encode_texts``, but no list of ids leaves a task.
+
+    A null text counts as empty, whose digests are those of no bytes. Texts are encoded whole, however long; rows that
+    repeat a doc_id, or have none, are rows like others. Other columns are not read, so their names clash with nothing.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(model_file)
+        own = codec(model_file, CACHED_WORDS, CACHED_PAIRS)
         for batch in batches:
             rows = [own.digest(t or "") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
