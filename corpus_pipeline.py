@@ -18,6 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this pooled probability of the best language a text is in none of them.
 LEAST_SCORE = 0.4
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+#: Words and pairs of tokens an encoding worker keeps: fewer than by itself, as executors hold four stages' code by then.
+REMEMBERED = (40_000, 120_000)
 
 # Every stage takes any rows: nulls in any column, empty and very long texts, ties, repeated rows, no rows at all. Extra
 # columns of ``documents`` go in the first stage, so their names clash with nothing. What each does with such rows:
@@ -70,7 +72,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the SHA-256 of the text decoded from them; a null text counts as empty."""
-    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None, decoded_sha256="decoded_sha256")
+    out = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=None, decoded_sha256="decoded_sha256", remembered=REMEMBERED)
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
