@@ -363,6 +363,8 @@ def test_archive_ranges_and_retries(spark, docs, tmp_path):
     bad = [x for x in media.read_archives(spark, folder).collect() if x.error]
     assert [(x.doc_id, x.media) for x in bad] == [(r.doc_id, None)]
     assert len([x for x in media.media_features(media.read_archives(spark, folder)).collect() if x.n_bytes is None]) == 1
+    with pytest.raises(Exception, match="BadZipFile|checksum differs"):
+        media.media_features(media.read_archives(spark, folder), strict=True).collect()
 
 
 # licences
@@ -435,6 +437,9 @@ def test_mixing(spark, docs):
         assert 0 <= r.taken <= 3 * r.size and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - target[s]) <= 64 for s in sizes)
+    # blocks are picked all over a source, not from one run of it
+    own = sorted([r for r in mix.mix_sources(spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 64) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")).collect() if r.source == "a"], key=lambda r: r.doc_id)
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 64 and {r.taken for r in own} == {0, 64}
     assert mix.mix_sources(docs([])).count() == 0
     assert {r.taken for r in mix.mix_sources(docs([(1, None), (2, "")])).collect()} == {0}
 

@@ -22,6 +22,8 @@ from tidegraph.llm.workspace import Workspace, components
 GRAPH = "a long, b long, s float"
 #: How far the cosine of the 8-bit copies may lie below that of the vectors.
 MARGIN = 0.03
+#: Blocks on a side of what one key of the count compares.
+SQUARE = 8
 #: Vectors from which on codes and rounds grow, and the turns after which a search that misses its recall raises.
 GROWS, TURNS = 1 << 16, 8
 
@@ -81,18 +83,24 @@ def _coded(nodes: DataFrame, seed: int, bits: int, block: int, k: int) -> DataFr
                 p = x @ planes
                 yield b.assign(code=((p[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64), along=p[:, bits].astype(np.float64))
 
+    def near(b: pd.DataFrame) -> pd.DataFrame:
+        ids = b["vec_id"].to_numpy()
+        x = _unit8(_rows(b["small"], np.int8))
+        s = x @ x.T
+        np.fill_diagonal(s, -2)
+        n = min(k, len(ids) - 1)
+        best = np.argpartition(-s, n - 1, 1)[:, :n]
+        return _top(np.repeat(ids, n), ids[best].reshape(-1), np.take_along_axis(s, best, 1).reshape(-1), k)
+
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), block):
-                b = batch.iloc[lo : lo + 2 * block]  # blocks overlap by half
-                ids = b["vec_id"].to_numpy()
-                x = _unit8(_rows(b["small"], np.int8))
-                s = x @ x.T
-                np.fill_diagonal(s, -2)
-                n = min(k, len(ids) - 1)
-                if n:
-                    best = np.argpartition(-s, n - 1, 1)[:, :n]
-                    yield _top(np.repeat(ids, n), ids[best].reshape(-1), np.take_along_axis(s, best, 1).reshape(-1), k)
+        held = None
+        for batch in batches:  # blocks overlap by half, whatever the size of the batches
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            while len(held) >= 2 * block:
+                yield near(held.iloc[: 2 * block])
+                held = held.iloc[block:]
+        if held is not None and len(held) > 1:
+            yield near(held)
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = nodes.select("vec_id", "small").mapInPandas(code, "vec_id long, small binary, code long, along double")
@@ -179,14 +187,17 @@ def missed_share(nodes: DataFrame, label: DataFrame, cosine: float, sample: int,
 def _counted(nodes: DataFrame, label: DataFrame, cosine: float, block: int) -> DataFrame:
     """``node, partners``: the links of every vector inside its component, copies included, by comparing blocks.
 
-    Only counts leave a task: the pairs of a component are not written.
+    Only counts leave a task: the pairs of a component are not written. A component of many blocks is dealt out in
+    squares of ``SQUARE`` by ``SQUARE`` blocks, so a large one is spread over tasks.
     """
     own = nodes.join(label.withColumnRenamed("node", "vec_id"), "vec_id")
     size = own.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = own.join(size, "component").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    packed = dealt.groupBy("component", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("copies").alias("copies"))
-    left = packed.select("component", F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("vs").alias("xa"))
-    right = packed.select("component", F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("vs").alias("xb"), F.col("copies").alias("wb"))
+    salt = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    dealt = own.join(size, "component").withColumn("block", salt).withColumn("bands", F.ceil(F.col("blocks") / SQUARE).cast("int"))
+    packed = dealt.groupBy("component", "bands", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("copies").alias("copies"))
+    mine, every = F.floor(F.col("block") / SQUARE).cast("int"), F.explode(F.sequence(F.lit(0), F.col("bands") - 1))
+    left = packed.select("component", mine.alias("i"), every.alias("j"), F.col("ids").alias("ia"), F.col("vs").alias("xa"))
+    right = packed.select("component", mine.alias("j"), every.alias("i"), F.col("ids").alias("ib"), F.col("vs").alias("xb"), F.col("copies").alias("wb"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,7 +208,7 @@ def _counted(nodes: DataFrame, label: DataFrame, cosine: float, block: int) -> D
                 out.append(pd.DataFrame({"node": ia, "partners": hit @ np.asarray(wb)}))
             yield pd.concat(out) if out else pd.DataFrame({"node": [], "partners": []})
 
-    counts = left.join(right, "component").select("ia", "xa", "ib", "xb", "wb").mapInPandas(count, "node long, partners long")
+    counts = left.join(right, ["component", "i", "j"]).select("ia", "xa", "ib", "xb", "wb").mapInPandas(count, "node long, partners long")
     return counts.groupBy("node").agg(F.sum("partners").alias("partners"))
 
 
@@ -207,8 +218,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, k: int = 12, codes:
     Vectors link when their cosine in double precision is at least ``cosine``. ``n_links`` counts the other vectors
     linked directly, ``component_id`` is the smallest vec_id reachable, ``kept`` says that it is the row's own. A
     vector that is null, empty or zero or holds a null or non-finite component links with nothing, and vectors of
-    different lengths don't link. Equal vectors are one node of the graph. A row without vec_id links with nothing,
-    has a null component and isn't kept.
+    different lengths don't link; each length that occurs has a search of its own. Equal vectors are one node of the
+    graph. A row without vec_id links with nothing, has a null component and isn't kept. Of rows that repeat a vec_id,
+    each has the most links and the least component of them. Ties of similarity go by vec_id. Other columns are not
+    read. Raises if the audit still misses ``recall`` after ``TURNS`` turns.
     """
     space = Workspace(vectors.sparkSession, "neighbours")
     clean = space.keep(clean_vectors(vectors), "clean")

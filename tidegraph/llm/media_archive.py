@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -147,7 +148,8 @@ class ArchiveReader(DataSourceReader):
 
     def _retried(self, path: str, offset: int, size: int, crc: int) -> tuple[bytes | None, str | None]:
         error = None
-        for _ in range(self.tries):
+        for k in range(self.tries):
+            time.sleep(0.05 * (4**k - 1))
             try:
                 return self._member(path, offset, size, crc), None
             except (OSError, ValueError) as e:
@@ -212,10 +214,11 @@ def image_feature(samples: bytes) -> str:
     return f"rows={n // ROW};min={seen[0]};max={seen[-1]};mean={mean:.4f};deviation={deviation:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f}"
 
 
-def media_features(media: DataFrame) -> DataFrame:
+def media_features(media: DataFrame, strict: bool = False) -> DataFrame:
     """Checks and features of stored images: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
 
-    All but doc_id are null for a member that couldn't be read.
+    All but doc_id are null for a member that couldn't be read; with ``strict`` it fails the query. Equal media give
+    equal values, repeated rows stay.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -223,9 +226,11 @@ def media_features(media: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, image in zip(batch["doc_id"].to_pylist(), batch["media"], strict=True):
+            for k, (doc, image) in enumerate(zip(batch["doc_id"].to_pylist(), batch["media"], strict=True)):
                 image = image.as_py()
                 if image is None:
+                    if strict:
+                        raise RuntimeError(f"{batch['archive'][k]} at {batch['offset'][k]}: {batch['error'][k]}")
                     rows.append((doc, *[None] * 7))
                     continue
                 payload, n = from_image(image)
@@ -233,12 +238,16 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return media.select("doc_id", "media").mapInArrow(look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "media", "archive", "offset", "error").mapInArrow(look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def archive_and_inspect(docs: DataFrame) -> DataFrame:
-    """Stores every text of ``docs(doc_id, text)``, reads the archives back and returns ``media_features``. A null text counts as empty."""
+    """Stores every text of ``docs(doc_id, text)``, reads the archives back and returns ``media_features``.
+
+    A null or empty text is stored as 64 bytes 0; texts are stored whole. Rows that repeat a doc_id, or have none, are
+    members of their own; an empty table gives no row. Only the two columns are read. A member that can't be read back fails the query.
+    """
     space = Workspace(docs.sparkSession, "media")
     folder = space.path("archives")
     space.keep(write_archives(docs, folder), "manifest")
-    return media_features(read_archives(docs.sparkSession, folder, manifest=space.path("manifest")))
+    return media_features(read_archives(docs.sparkSession, folder, manifest=space.path("manifest")), strict=True)

@@ -2,7 +2,8 @@
 
 The mix is dealt in blocks of equally many words. Sources get blocks by the highest quotients of their targets, the
 shards of a source by the highest quotients of their sizes. A shard's documents stand in a seeded order and form
-one run of words; it takes whole passes over the run and then the blocks that follow a seeded start.
+one run of words, cut into blocks; it takes whole passes over the run and then the blocks that a seeded permutation
+puts first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tidegraph.llm.workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Factors of block permutations: primes that no number of blocks in a shard has as a divisor, as they are larger.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
 def word_count(text: str = "text") -> Column:
@@ -68,8 +71,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     """``doc_id, size, source_size, target, taken, source, shard`` of every row of ``docs(doc_id, text, source)``.
 
     ``taken`` counts the words that the mix takes of a document, repeats counted; at most ``cap`` times its size. A
-    null text has no word. A null source is a source of its own. Repeated rows are taken each for itself, ties stand
-    in the order of doc_id and size. The same rows and seed give the same mix.
+    null or empty text has no word, a long one is counted whole. A null source is a source of its own. Repeated rows
+    are taken each for itself, ties stand in the order of doc_id and size. Other columns are not read. Less than half a
+    block in all gives nothing. The same rows and seed give the same mix.
     """
     space = Workspace(docs.sparkSession, "mix")
     sized = space.keep(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("place")), "sized")
@@ -87,12 +91,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     words = F.least(F.col("quota") * block_words, F.col("length") * cap)
     rows = rows.withColumn("end", end).withColumn("words", words).withColumn("passes", F.when(F.col("length") > 0, F.floor(F.col("words") / F.col("length"))).otherwise(0))
     rows = rows.withColumn("rest", F.col("words") - F.col("passes") * F.col("length"))
-    start = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.greatest(F.ceil(F.col("length") / block_words), F.lit(1))) * block_words
-    rows = rows.withColumn("start", start)
-
-    def within(lo: Column) -> Column:
-        """Words of the document in the run from ``lo`` on."""
-        return F.greatest(F.least(F.col("end"), lo + F.col("rest")) - F.greatest(F.col("end") - F.col("size"), lo), F.lit(0))
-
-    taken = F.col("passes") * F.col("size") + within(F.col("start")) + within(F.col("start") - F.col("length"))
+    # whole blocks are numbered anew by a seeded permutation, j -> (a j + b) mod their number; a last shorter one stays last
+    full, lot = F.floor(F.col("length") / block_words), F.xxhash64("source", "shard", F.lit(seed))
+    factor = F.get(F.array(*[F.lit(p) for p in PRIMES]), F.pmod(lot, F.lit(len(PRIMES))).cast("int"))
+    rows = rows.withColumns({"begin": F.col("end") - F.col("size"), "full": full, "factor": factor, "shift": F.pmod(lot, F.greatest(full, F.lit(1)))})
+    rows = rows.withColumns({"whole": F.floor(F.col("rest") / block_words), "part": F.pmod("rest", F.lit(block_words))})
+
+    def taken_of(j: Column) -> Column:
+        """Words that the mix takes of the document's part of block ``j``."""
+        at = F.when(j >= F.col("full"), F.col("full")).otherwise(F.pmod(j * F.col("factor") + F.col("shift"), F.greatest("full", F.lit(1))))
+        wanted = F.when(at < F.col("whole"), block_words).when(at == F.col("whole"), F.col("part")).otherwise(0)
+        return F.greatest(F.least(F.col("end"), j * block_words + wanted) - F.greatest(F.col("begin"), j * block_words), F.lit(0)).cast("long")
+
+    blocks = F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))
+    some = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(blocks, F.lit(0).cast("long"), lambda n, j: n + taken_of(j))).otherwise(0)
+    taken = F.col("passes") * F.col("size") + some
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
