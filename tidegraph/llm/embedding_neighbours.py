@@ -23,7 +23,7 @@ GRAPH = "a long, b long, s float"
 #: How far the cosine of the 8-bit copies may lie below that of the vectors.
 MARGIN = 0.03
 #: Blocks on a side of what one key of the count compares.
-SQUARE = 8
+SQUARE = 32
 #: Vectors from which on codes and rounds grow, and the turns after which a search that misses its recall raises.
 GROWS, TURNS = 1 << 16, 8
 
@@ -184,17 +184,17 @@ def missed_share(nodes: DataFrame, label: DataFrame, cosine: float, sample: int,
     return missed / n if n else 0.0
 
 
-def _counted(nodes: DataFrame, label: DataFrame, cosine: float, block: int) -> DataFrame:
+def _counted(nodes: DataFrame, label: DataFrame, cosine: float, block: int, space: Workspace, tag: str) -> DataFrame:
     """``node, partners``: the links of every vector inside its component, copies included, by comparing blocks.
 
     Only counts leave a task: the pairs of a component are not written. A component of many blocks is dealt out in
     squares of ``SQUARE`` by ``SQUARE`` blocks, so a large one is spread over tasks.
     """
     own = nodes.join(label.withColumnRenamed("node", "vec_id"), "vec_id")
-    size = own.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    size = space.keep(label.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), f"{tag}sizes")
     salt = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     dealt = own.join(size, "component").withColumn("block", salt).withColumn("bands", F.ceil(F.col("blocks") / SQUARE).cast("int"))
-    packed = dealt.groupBy("component", "bands", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("copies").alias("copies"))
+    packed = dealt.repartition("component", "block").groupBy("component", "bands", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"), F.collect_list("copies").alias("copies"))
     mine, every = F.floor(F.col("block") / SQUARE).cast("int"), F.explode(F.sequence(F.lit(0), F.col("bands") - 1))
     left = packed.select("component", mine.alias("i"), every.alias("j"), F.col("ids").alias("ia"), F.col("vs").alias("xa"))
     right = packed.select("component", mine.alias("j"), every.alias("i"), F.col("ids").alias("ib"), F.col("vs").alias("xb"), F.col("copies").alias("wb"))
@@ -269,4 +269,4 @@ def _search(nodes: DataFrame, space: Workspace, tag: str, cosine: float, k: int,
             break
     else:
         raise RuntimeError(f"recall stays below {recall} after {TURNS} turns")
-    return label, space.keep(_counted(nodes, label, cosine, 512), f"{tag}counts")
+    return label, space.keep(_counted(nodes, label, cosine, 128, space, tag), f"{tag}counts")

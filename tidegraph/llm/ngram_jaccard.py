@@ -247,11 +247,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, crowd
     # all pairs with a token's first document are compared by now, so tokens of two documents are done
     placed = kept.where("df > 2 and doc_id <> a").select("token", "doc_id", "n", "place").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # most tokens stand in one component alone by now
-    torn = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    torn = space.keep(placed.join(torn, "token"), "torn")
+    torn = space.keep(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "torn-tokens")
+    torn = space.keep(placed.join(torn, "token"), "torn")  # a table on either side, so that a skewed join can be split
     space.drop("kept")
     apart = torn.select("token", "doc_id", "n", "place", "component", F.explode(F.array(size_class, size_class + 1)).alias("slot"))
-    mixed = apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size")
+    mixed = space.keep(apart.groupBy("token", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "slot", "size"), "mixed")
     apart = space.keep(apart.join(mixed, ["token", "slot"]), "apart")
     space.drop("torn")
     few = candidates(_met(apart.where(F.col("size") <= crowd), ["token", "slot"], percent), "few")

@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Words longer than this are encoded without being remembered.
 CACHED_CHARS = 48
 #: Words, and pairs of tokens, that a worker remembers; those beyond are worked out again.
-CACHED_WORDS, CACHED_PAIRS = 150_000, 250_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 400_000
 #: Documents that leave a worker at once.
 BLOCK = 500
 
