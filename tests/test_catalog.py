@@ -27,8 +27,6 @@ def test_query(spark, name):
     found = con.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in found.description]
     want = found.fetchall()
-    if name == "p6_p7_p9_engine_status":
-        pytest.skip("its graph is the one of the larger tables")
     assert plain([tuple(r) for r in got.select(*columns).collect()]) == plain(want)
 
 

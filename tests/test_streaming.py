@@ -6,7 +6,7 @@ from pathlib import Path
 from tidegraph.plans.engine import Engine
 from tidegraph.sources.edges import edges_from_json, json_stream, raw_edge_list, synthetic_edges, unkeyed
 from tidegraph.storage import LogConfig, read_log, read_window
-from tidegraph.streaming.service import answer_queries, dump_text, ingest_edges
+from tidegraph.streaming.service import answer_queries, asked_edges, dump_text, ingest_edges
 
 DATA = Path(__file__).parent / "fixtures"
 
@@ -25,6 +25,9 @@ def test_stream(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(timestamp)" in plan
     out = str(tmp_path / "out")
     answer_queries(json_stream(spark, str(tmp_path / "queries")), log, out, str(tmp_path / "c2"), Engine(config)).awaitTermination()
+    asked = spark.createDataFrame([(0, 20), (30, 10)], "start_t long, end_t long")
+    plan = asked_edges(spark, log, config, asked)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and asked_edges(spark, log, config, asked.where("start_t > end_t")).count() == 0
     records = spark.read.option("recursiveFileLookup", "true").parquet(out)
     got = {r.key: json.loads(r.value)["result_string"] for r in records.collect()}
     assert got["1 1"].endswith("[0, 1, 2, 3]") and len(got) == 3

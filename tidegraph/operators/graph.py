@@ -7,6 +7,7 @@ the shared folder, which cuts the lineage and survives lost executors.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,17 +108,22 @@ def pagerank(graphs: DataFrame, wanted: DataFrame) -> DataFrame:
     for a vertex without in-edges. The mass of a vertex without out-edges is dropped.
     """
     spark = graphs.sparkSession
-    base = 1 - DAMPING
+    base, parts = 1 - DAMPING, int(spark.conf.get("spark.sql.shuffle.partitions"))
     graphs = graphs.join(wanted.select("wid").distinct(), "wid", "left_semi")
     total = graphs.groupBy("wid", "src_id").agg(F.sum("weight").alias("weight_sum"))
     links = Rounds(spark, "adjacency").add(graphs.join(total, ["wid", "src_id"]).select("wid", "src_id", "dst_id", F.when(F.col("weight_sum") != 0, F.col("weight") / F.col("weight_sum")).otherwise(0.0).alias("part")), 0)
+    # dealt out once by source; kept so in every round, and read from its table again where an executor is lost
+    links = links.repartition(parts, "wid", "src_id").persist(StorageLevel.DISK_ONLY)
     has_in = links.select("wid", F.col("dst_id").alias("vertex_id"), F.lit(True).alias("has_in")).distinct()
     all_ids = links.select("wid", F.explode(F.array("src_id", "dst_id")).alias("vertex_id")).distinct()
     most = wanted.groupBy("wid").agg(F.max("iterations").alias("n"))
     rounds = Rounds(spark, "ranks")
     ids = Rounds(spark, "vertices").add(all_ids.join(has_in, ["wid", "vertex_id"], "left").join(most, "wid").select("wid", "vertex_id", "has_in", "n"), 0)
+    ids = ids.repartition(parts, "wid", "vertex_id").persist(StorageLevel.DISK_ONLY)
     ranks = rounds.add(ids.select("wid", F.lit(0).alias("iteration"), "vertex_id", F.when(F.col("has_in"), 1.0).otherwise(base).alias("rank")), 0)
     for i in range(1, (most.agg(F.max("n")).first()[0] or 0) + 1):
         gained = links.join(ranks.select("wid", F.col("vertex_id").alias("src_id"), "rank"), ["wid", "src_id"]).groupBy("wid", F.col("dst_id").alias("vertex_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("gain"))
         ranks = rounds.add(ids.where(F.col("n") >= i).join(gained, ["wid", "vertex_id"], "left").select("wid", F.lit(i).alias("iteration"), "vertex_id", (base + DAMPING * F.coalesce("gain", F.lit(0.0))).alias("rank")), i)
+    links.unpersist()
+    ids.unpersist()
     return rounds.all().where("iteration > 0")

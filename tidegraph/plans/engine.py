@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import text
 from tidegraph.operators import graph, state, windows
-from tidegraph.storage import LogConfig
+from tidegraph.storage import LogConfig, Rounds
 
 #: What every algorithm returns: one row per answered query.
 ANSWER = ["query_id", "user_id", "wid", "vertex_id", "query_type", "status", "result"]
@@ -71,10 +71,13 @@ def _ranks(graphs: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
     """Every vertex of the log appears, with a null rank if it is not in the window."""
     asked = queries.withColumn("iterations", F.col("parameter_map")["iterations"].cast("int"))
     ranks = graph.pagerank(graphs, asked.select("wid", "iterations").distinct())
-    grid = asked.select(*graph.KEY, "vertex_id", "query_type", F.explode(F.sequence(F.lit(1), "iterations")).alias("iteration")).crossJoin(ids.select(F.col("vertex_id").alias("v")))
-    values = grid.join(ranks.withColumnRenamed("vertex_id", "v"), ["wid", "iteration", "v"], "left")
-    per_round = values.groupBy(*graph.KEY, "vertex_id", "query_type", "iteration").agg(F.array_sort(F.collect_list(F.struct(F.col("v").try_cast("bigint").alias("n"), F.col("v").alias("vertex_id"), "rank"))).alias("values"))
-    whole = per_round.groupBy(*graph.KEY, "vertex_id", "query_type").agg(F.collect_list(F.struct("iteration", "values")).alias("ranks"))
+    # a batch asks about few windows: each once, however many queries share it
+    wanted = [(r.wid, k) for r in asked.groupBy("wid").agg(F.max("iterations").alias("n")).collect() for k in range(1, r.n + 1)]
+    every = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("wid"), F.lit(k).alias("iteration")) for w, k in wanted])).alias("round")
+    values = ids.select("vertex_id", every).select("round.*", "vertex_id").join(ranks, ["wid", "iteration", "vertex_id"], "left")
+    per_round = values.groupBy("wid", "iteration").agg(F.array_sort(F.collect_list(F.struct(F.col("vertex_id").try_cast("bigint").alias("n"), "vertex_id", "rank"))).alias("values"))
+    per_query = asked.select(*graph.KEY, "vertex_id", "query_type", "iterations").join(per_round, "wid").where("iteration <= iterations")
+    whole = per_query.groupBy(*graph.KEY, "vertex_id", "query_type").agg(F.collect_list(F.struct("iteration", "values")).alias("ranks"))
     return whole.select(*graph.KEY, "vertex_id", "query_type", F.lit("ok").alias("status"), text.ranks_text().alias("result")).select(ANSWER)
 
 
@@ -103,11 +106,16 @@ class Engine:
     cached: DataFrame | None = None
     history: list[DataFrame] = field(default_factory=list)
 
-    def answer(self, edges: DataFrame, queries: DataFrame, version: int = 0) -> DataFrame:
-        """``ANSWER`` rows of all queries, repeated ones once; ``status`` is ok, isolated or error."""
+    def answer(self, edges: DataFrame, queries: DataFrame, version: int = 0, log: DataFrame | None = None) -> DataFrame:
+        """``ANSWER`` rows of all queries, repeated ones once; ``status`` is ok, isolated or error.
+
+        ``log``: all edges, where ``edges`` are only those of the queries' windows; it tells which vertices exist.
+        """
+        spark = edges.sparkSession
         key = ["query_id", "user_id", "vertex_id", "query_type", "start_t", "end_t", "parameters"]
         asked = windows.number_windows(queries).withColumn("parameters", F.array_join(F.array_sort(F.transform(F.map_entries("parameter_map"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&"))
-        asked = asked.dropDuplicates(key).withColumn("problem", problem(list(ALGORITHMS))).cache()
+        asked = asked.dropDuplicates(key).withColumn("problem", problem(list(ALGORITHMS)))
+        asked = Rounds(spark, "asked").add(asked, 0)
         known = None
         if self.cached is not None:
             same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
@@ -117,8 +125,8 @@ class Engine:
         out = asked.where("problem is not null").select(*ANSWER[:5], F.lit("error").alias("status"), F.col("problem").alias("result"))
         good = asked.where("problem is null")
         kinds = [r.query_type for r in good.select("query_type").distinct().collect()]
-        graphs = windows.window_graphs(edges, good, self.config).cache()
-        ids = state.vertex_ids(edges)
+        graphs = Rounds(spark, "graphs").add(windows.window_graphs(edges, good, self.config), 0)
+        ids = state.vertex_ids(edges if log is None else log)
         for kind in kinds:
             out = out.unionByName(ALGORITHMS[kind](graphs, good.where(F.col("query_type") == kind), ids).select(ANSWER))
         fresh = out.join(asked.select("query_id", "user_id", "wid", "vertex_id", "query_type", "start_t", "end_t", "parameters"), ["query_id", "user_id", "wid", "vertex_id", "query_type"])

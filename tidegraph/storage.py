@@ -63,9 +63,12 @@ class Rounds:
 
 
 def write_log(edges: DataFrame, path: str, config: LogConfig, mode: str = "append") -> None:
-    """Appends edges to a log in the layout of ``config``."""
+    """Appends edges to a log in the layout of ``config``.
+
+    Buckets are dealt out by number, and adaptive execution splits a hot one and joins small ones.
+    """
     if config.paradigm >= 3:
-        edges.withColumn("bucket", config.bucket(F.col("timestamp"))).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+        edges.withColumn("bucket", config.bucket(F.col("timestamp"))).hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
     elif config.paradigm == 2:
         edges.repartitionByRange("timestamp", "src_id", "dst_id").sortWithinPartitions("timestamp", "src_id", "dst_id").write.mode(mode).parquet(path)
     else:
@@ -78,10 +81,14 @@ def read_log(spark: SparkSession, path: str, config: LogConfig) -> DataFrame:
 
 def read_window(spark: SparkSession, path: str, config: LogConfig, start_t: int, end_t: int) -> DataFrame:
     """Edges with start_t <= timestamp <= end_t. Bucket bounds are added for partition pruning, which can't be derived from the timestamp."""
-    log = read_log(spark, path, config)
+    return pruned(read_log(spark, path, config), config, start_t, end_t).select("src_id", "dst_id", "weight", "timestamp", "seq")
+
+
+def pruned(log: DataFrame, config: LogConfig, start_t: int, end_t: int) -> DataFrame:
+    """The edges of a log from ``start_t`` to ``end_t``; of a bucketed one only those folders are read."""
     if config.paradigm >= 3:
         log = log.where(F.col("bucket").between(config.bucket(F.lit(start_t)), config.bucket(F.lit(end_t))))
-    return window(log, start_t, end_t).select("src_id", "dst_id", "weight", "timestamp", "seq")
+    return window(log, start_t, end_t)
 
 
 def window(edges: DataFrame, start_t: int, end_t: int) -> DataFrame:

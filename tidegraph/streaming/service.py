@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegraph.functions.text import egress
 from tidegraph.plans.engine import Engine
 from tidegraph.sources.edges import edges_from_json, queries_from_json
-from tidegraph.storage import LogConfig, read_log, write_log
+from tidegraph.storage import LogConfig, Rounds, pruned, read_log, write_log
 
 
 def ingest_edges(lines: DataFrame, log: str, checkpoint: str, config: LogConfig, metrics: str | None = None) -> StreamingQuery:
@@ -40,15 +40,21 @@ def answer_queries(lines: DataFrame, log: str, out: str, checkpoint: str, engine
     def answer(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         begin = time.monotonic()
-        results = engine.answer(read_log(spark, log, engine.config), queries_from_json(batch), number)
-        results = results.persist()
-        results.count()
+        queries = Rounds(spark, "queries").add(queries_from_json(batch), 0)
+        results = Rounds(spark, "answers").add(engine.answer(asked_edges(spark, log, engine.config, queries), queries, number, read_log(spark, log, engine.config)), 0)
         key, value = egress(F.col("result"), F.lit(round((time.monotonic() - begin) * 1000)))
         results.select(key, value).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def asked_edges(spark: SparkSession, log: str, config: LogConfig, queries: DataFrame) -> DataFrame:
+    """The edges of a log between the first and the last moment that some query asks for; other buckets aren't read."""
+    lo, hi = queries.where("start_t <= end_t").agg(F.min("start_t"), F.max("end_t")).first()
+    edges = read_log(spark, log, config)
+    return edges.limit(0) if lo is None else pruned(edges, config, lo, hi)
+
+
 def dump_text(results: DataFrame, path: str) -> None:
     """K5: ``query_id user_id time result`` lines of K1 records."""
     value = F.from_json("value", "result_string string, time string")
