@@ -3,6 +3,7 @@
 import json
 from pathlib import Path
 
+from tidegraph.operators.state import metric_records
 from tidegraph.plans.engine import Engine
 from tidegraph.sources.edges import edges_from_json, json_stream, raw_edge_list, synthetic_edges, unkeyed
 from tidegraph.storage import LogConfig, read_log, read_window
@@ -24,7 +25,9 @@ def test_stream(spark, tmp_path):
     plan = read_window(spark, log, config, 0, 20)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(timestamp)" in plan
     out = str(tmp_path / "out")
-    answer_queries(json_stream(spark, str(tmp_path / "queries")), log, out, str(tmp_path / "c2"), Engine(config)).awaitTermination()
+    answer_queries(json_stream(spark, str(tmp_path / "queries")), log, out, str(tmp_path / "c2"), Engine(config), str(tmp_path / "filter")).awaitTermination()
+    times = metric_records(spark.read.parquet(str(tmp_path / "filter")), "time", ["batch"], [])
+    assert [r.key for r in times.collect()] == ["1"] and {"time", "overall_time", "average_time"} == set(json.loads(times.first().value))
     asked = spark.createDataFrame([(0, 20), (30, 10)], "start_t long, end_t long")
     plan = asked_edges(spark, log, config, asked)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and asked_edges(spark, log, config, asked.where("start_t > end_t")).count() == 0

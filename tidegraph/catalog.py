@@ -339,6 +339,38 @@ def k1_f1_result_records(spark, sf_dir):
     return answers.select(*text.egress(F.col("result"), F.lit(0)))
 
 
+@entry(REACH.replace(f" WHERE timestamp BETWEEN {START} AND {END}", "") + """ SELECT '1 1' AS key, '{"result_string":"Result of query 1 by user 1: connected component id of node 8 is ' || min(id) || '. All node ids that contain in the same component are:[' || string_agg(id, ', ' ORDER BY id) || ']","time":"0"}' AS value FROM reach""")
+def k1_component_record(spark, sf_dir):
+    edges = graph_a(spark, sf_dir)
+    answers = Engine(LAYOUTS[1]).answer(edges, _batch(spark, edges).where("query_id = '1'"))
+    return answers.select(*text.egress(F.col("result"), F.lit(0)))
+
+
+@entry("""WITH m AS (SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS t FROM events),
+s AS (SELECT event_type, t, count(*) OVER o AS n, CAST(sum(t) OVER o AS BIGINT) AS total FROM m WINDOW o AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_type, CAST(n AS VARCHAR) AS key, '{"time":"' || t || '","overall_time":"' || total || '","average_time":"' AS value FROM s""")
+def k2_k3_metric_records(spark, sf_dir):
+    """Without the average, whose last digit rounds differently here and there."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    records = state.metric_records(events, "cents", ["event_id"], ["event_type"])
+    return records.select("event_type", "key", F.regexp_replace("value", r'(average_time":")[^"]*"\}$', "$1").alias("value"))
+
+
+@entry("""WITH f AS (SELECT event_type, value, cume_dist() OVER (PARTITION BY event_type ORDER BY value) AS fraction FROM events), s AS (SELECT unnest([0.9, 0.99])::DOUBLE AS share)
+SELECT event_type, share, round(min(value), 6) AS value FROM f JOIN s ON fraction >= share GROUP BY event_type, share""")
+def o7_latency_marks(spark, sf_dir):
+    return state.latency_marks(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", ["event_type"]).select("event_type", "share", F.round("value", 6).alias("value"))
+
+
+@entry("SELECT CAST(i AS BIGINT) AS query_id, CAST(2 AS BIGINT) AS n FROM range(1, 3) AS r(i)")
+def j6_result_history(spark, sf_dir):
+    edges = graph_a(spark, sf_dir)
+    engine, asked = Engine(LAYOUTS[1]), _batch(spark, edges).where("query_id IN ('1', '2')")
+    engine.answer(edges, asked, 1)
+    results = engine.answer(edges, asked, 2)
+    return _numbers(engine.with_history(results).where("result = earlier").groupBy("query_id").agg(F.count("*").alias("n")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in CATALOG.items()}
 

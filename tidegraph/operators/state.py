@@ -85,6 +85,20 @@ def latency_cdf(metrics: DataFrame, value: str, by: list[str]) -> DataFrame:
     return metrics.withColumn("fraction", F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
 
 
+def latency_marks(metrics: DataFrame, value: str, by: list[str], shares: tuple[float, ...] = (0.9, 0.99)) -> DataFrame:
+    """The least value that at least such a share of the records doesn't exceed, for each share."""
+    ranked = metrics.withColumn("fraction", F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
+    marks = ranked.select(*by, value, "fraction", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")).where("fraction >= share")
+    return marks.groupBy(*by, "share").agg(F.min(value).alias(value))
+
+
+def metric_records(metrics: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+    """K2, K3: ``key`` (record number) and JSON ``value`` with the time, the overall and the average time of the records so far."""
+    stats = running_stats(metrics, value, order, by)
+    wire = F.struct(F.col(value).cast("string").alias("time"), F.col("overall_time").cast("string").alias("overall_time"), F.format_string("%.1f", "average_time").alias("average_time"))
+    return stats.select(*by, F.col("record_number").cast("string").alias("key"), F.to_json(wire).alias("value"))
+
+
 def latency_histogram(metrics: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Counts in equal bins of log10 between the smallest and the largest value."""
     logs = metrics.where(F.col(value) > 0).select(F.log10(value).alias("l"))

@@ -98,13 +98,13 @@ def problem(types: list[str]):
 class Engine:
     """Answers batches of queries over an edge log.
 
-    ``cache`` maps the full content of a query and the log's version to its answer, so an answer is reused only
-    for the same question about the same edges. ``history`` keeps all answers in order.
+    ``answered`` holds the answers of all batches in the shared folder. One is reused only for the same question, in
+    full, about the same version of the log.
     """
 
     config: LogConfig = field(default_factory=LogConfig)
-    cached: DataFrame | None = None
-    history: list[DataFrame] = field(default_factory=list)
+    answered: Rounds | None = None
+    batches: int = 0
 
     def answer(self, edges: DataFrame, queries: DataFrame, version: int = 0, log: DataFrame | None = None) -> DataFrame:
         """``ANSWER`` rows of all queries, repeated ones once; ``status`` is ok, isolated or error.
@@ -117,9 +117,9 @@ class Engine:
         asked = asked.dropDuplicates(key).withColumn("problem", problem(list(ALGORITHMS)))
         asked = Rounds(spark, "asked").add(asked, 0)
         known = None
-        if self.cached is not None:
+        if self.answered is not None:
             same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
-            hit = self.cached.where(F.col("version") == version).alias("c")
+            hit = self.answered.all().where(F.col("version") == version).alias("c")
             known = asked.alias("a").join(hit, same).select(*[F.col(f"a.{c}") for c in ANSWER[:5]], "c.status", "c.result")
             asked = asked.alias("a").join(hit, same, "left_anti")
         out = asked.where("problem is not null").select(*ANSWER[:5], F.lit("error").alias("status"), F.col("problem").alias("result"))
@@ -130,11 +130,15 @@ class Engine:
         for kind in kinds:
             out = out.unionByName(ALGORITHMS[kind](graphs, good.where(F.col("query_type") == kind), ids).select(ANSWER))
         fresh = out.join(asked.select("query_id", "user_id", "wid", "vertex_id", "query_type", "start_t", "end_t", "parameters"), ["query_id", "user_id", "wid", "vertex_id", "query_type"])
-        fresh = fresh.withColumn("version", F.lit(version))
-        self.cached = fresh if self.cached is None else self.cached.unionByName(fresh)
-        answers = fresh.select(ANSWER) if known is None else fresh.select(ANSWER).unionByName(known.select(ANSWER))
-        self.history.append(answers)
-        return answers
+        self.answered = self.answered or Rounds(spark, "answered")
+        fresh = self.answered.add(fresh.withColumn("version", F.lit(version).cast("long")), self.batches)
+        self.batches += 1
+        return fresh.select(ANSWER) if known is None else fresh.select(ANSWER).unionByName(known.select(ANSWER))
+
+    def with_history(self, results: DataFrame) -> DataFrame:
+        """Results joined with all answers given to the same query and user, one row per answer; adds ``earlier`` and ``version``."""
+        past = self.answered.all().select("query_id", "user_id", F.col("result").alias("earlier"), "version")
+        return results.join(past, ["query_id", "user_id"])
 
     def views(self, spark: SparkSession, edges: DataFrame) -> None:
         """Edges, activities and vertices as views for plain SQL."""

@@ -31,17 +31,23 @@ def ingest_edges(lines: DataFrame, log: str, checkpoint: str, config: LogConfig,
     return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def answer_queries(lines: DataFrame, log: str, out: str, checkpoint: str, engine: Engine) -> StreamingQuery:
+def answer_queries(lines: DataFrame, log: str, out: str, checkpoint: str, engine: Engine, metrics: str | None = None) -> StreamingQuery:
     """All queries of a micro-batch are answered together over one snapshot of the log.
 
-    A batch writes its own folder, replaced if it runs again, so each answer is there once.
+    A batch writes its own folder, replaced if it runs again, so each answer is there once. ``metrics``: a folder for
+    K3 records, the time to filter a batch's edges from the log, for which they are read once more.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         begin = time.monotonic()
         queries = Rounds(spark, "queries").add(queries_from_json(batch), 0)
-        results = Rounds(spark, "answers").add(engine.answer(asked_edges(spark, log, engine.config, queries), queries, number, read_log(spark, log, engine.config)), 0)
+        edges = asked_edges(spark, log, engine.config, queries)
+        if metrics:
+            started = time.monotonic_ns()
+            edges.count()
+            spark.createDataFrame([(number, time.monotonic_ns() - started)], "batch long, time long").write.mode("append").parquet(metrics)
+        results = engine.answer(edges, queries, number, read_log(spark, log, engine.config))
         key, value = egress(F.col("result"), F.lit(round((time.monotonic() - begin) * 1000)))
         results.select(key, value).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
