@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.language_id import UNKNOWN, predict_language, train_language_net
@@ -58,14 +58,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; one taken in part counts if at least half of it is taken.
+    """Each document as many times as the mix takes it; of those taken in part, so many stay whole as their parts add up to.
 
+    Parts are added up within a shard in the order of size, from a seeded start, and a document stays where the sum
+    passes a whole number; so a source's words come near its target, and reruns agree.
     Rows are told apart by doc_id and text together, so one without doc_id is mixed like any other; alike rows share
     what is taken of them evenly. A text without words has nothing to take and goes.
     """
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
-    taken = mix_sources(docs.select(key.alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = taken.where("size > 0").select(F.col("doc_id").alias("key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    mix = mix_sources(docs.select(key.alias("doc_id"), "text", "source")).where("size > 0")
+    taken = mix.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("part"), F.max("size").alias("size"), F.max("source").alias("source"), F.max("shard").alias("shard"))
+    shard = Window.partitionBy("source", "shard").orderBy("size", "doc_id")
+    start = F.pmod(F.xxhash64("source", "shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    before = F.coalesce(F.sum("part").over(shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    upto = F.sum("part").over(shard.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    times = taken.select(F.col("doc_id").alias("key"), (F.floor(upto + start) - F.floor(before + start)).cast("int").alias("times")).where("times > 0")
     mixed = docs.select(*COLUMNS, key.alias("key")).join(times.hint("shuffle_hash"), "key")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
 
