@@ -42,7 +42,7 @@ def whole_graph():
 
 def test_whole_span(spark):
     follow = whole_graph()
-    got = {(str(r.src_id), str(r.dst_id)) for r in catalog.queries()["a1_out_neighbours_whole"](spark, str(SF)).collect()}
+    got = {(str(r.src_id), str(r.dst_id)) for r in catalog.queries()["a1_out_neighbours"](spark, str(SF)).collect()}
     assert got == {(u, v) for u in follow for v in follow[u]}
     reach, todo = set(), ["8"]
     while todo:
