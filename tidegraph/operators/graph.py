@@ -17,24 +17,49 @@ KEY = ["query_id", "user_id", "wid"]
 DAMPING = 0.85
 
 
+def _asked(found: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
+    """What was found for the start vertices of windows (and parameters ``more``), for each query that asks it."""
+    start = ["wid", "vertex_id", *more]
+    return queries.select(*KEY, "vertex_id", *more).distinct().join(found, start)
+
+
+def _both_ways(adjacency: DataFrame) -> bool:
+    """Whether every edge has its reverse: two fingerprints of (src, dst) and of (dst, src) add up to the same, by chance in 1 of 2^128."""
+    mark = lambda seed, a, b: F.xxhash64(F.lit(seed), "wid", a, b).cast("decimal(20,0)")
+    sums = [F.sum(mark(s, "src_id", "dst_id") - mark(s, "dst_id", "src_id")) for s in (1, 2)]
+    return not any(adjacency.agg(*sums).first())
+
+
+def _walks(adjacency: DataFrame, queries: DataFrame, both_ways: bool) -> DataFrame:
+    """``wid, vertex_id, member_id`` of all vertices on walks from each distinct start that has an out-edge.
+
+    Level by level: frontier joined with adjacency, less the visited. Where edges run both ways, the neighbours of a
+    level lie in it, in the one before or in the next, so the older ones aren't read again.
+    """
+    spark = adjacency.sparkSession
+    rounds = Rounds(spark, "reach")
+    starts = queries.select("wid", F.col("vertex_id").alias("src_id")).distinct()
+    begun = adjacency.select("wid", "src_id").join(starts, ["wid", "src_id"]).distinct()
+    frontier = before = rounds.add(begun.select("wid", F.col("src_id").alias("vertex_id"), F.col("src_id").alias("member_id")), 0)
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        visited = before.union(frontier) if both_ways else rounds.all()
+        step = frontier.withColumnRenamed("member_id", "src_id").join(adjacency, ["wid", "src_id"]).select("wid", "vertex_id", F.col("dst_id").alias("member_id")).distinct()
+        before, frontier = frontier, rounds.add(step.join(visited, ["wid", "vertex_id", "member_id"], "left_anti"), level)
+    return rounds.all()
+
+
 def reachable(graphs: DataFrame, queries: DataFrame, directed: bool = True) -> DataFrame:
     """G1: ``KEY, vertex_id, member_id`` of all vertices on out-edge walks from a query's vertex, itself included.
 
-    Empty for a vertex without out-edges. Level by level: frontier joined with adjacency, less the visited.
+    Empty for a vertex without out-edges. Queries of one vertex and window share its walk.
     """
     adjacency = graphs.select("wid", "src_id", "dst_id")
     if not directed:
         adjacency = adjacency.union(adjacency.select("wid", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
-    rounds = Rounds(graphs.sparkSession, "reach")
     adjacency = Rounds(graphs.sparkSession, "adjacency").add(adjacency, 0)
-    active = queries.join(adjacency.select("wid", F.col("src_id").alias("vertex_id")).distinct(), ["wid", "vertex_id"], "left_semi")
-    frontier = rounds.add(active.select(*KEY, "vertex_id", F.col("vertex_id").alias("member_id")).distinct(), 0)
-    level = 0
-    while not frontier.isEmpty():
-        level += 1
-        step = frontier.withColumnRenamed("member_id", "src_id").join(adjacency, ["wid", "src_id"]).select(*KEY, "vertex_id", F.col("dst_id").alias("member_id")).distinct()
-        frontier = rounds.add(step.join(rounds.all(), [*KEY, "vertex_id", "member_id"], "left_anti"), level)
-    return rounds.all()
+    return _asked(_walks(adjacency, queries, not directed or _both_ways(adjacency)), queries).select(*KEY, "vertex_id", "member_id")
 
 
 def component_of(members: DataFrame) -> DataFrame:
@@ -46,11 +71,13 @@ def component_of(members: DataFrame) -> DataFrame:
 
 def strongly_connected(graphs: DataFrame, queries: DataFrame) -> DataFrame:
     """``KEY, vertex_id, member_id``: vertices both reachable from the query's vertex and reaching it, itself included."""
-    forward = reachable(graphs, queries)
-    back = reachable(graphs.withColumns({"src_id": F.col("dst_id"), "dst_id": F.col("src_id")}), queries)
-    both = forward.join(back, [*KEY, "vertex_id", "member_id"], "left_semi")
-    own = forward.where("vertex_id = member_id")
-    return both.union(own).distinct()
+    adjacency = Rounds(graphs.sparkSession, "adjacency").add(graphs.select("wid", "src_id", "dst_id"), 0)
+    both_ways = _both_ways(adjacency)
+    members = forward = _walks(adjacency, queries, both_ways)
+    if not both_ways:
+        back = _walks(adjacency.select("wid", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), queries, False)
+        members = forward.join(back, ["wid", "vertex_id", "member_id"], "left_semi").union(forward.where("vertex_id = member_id")).distinct()
+    return _asked(members, queries).select(*KEY, "vertex_id", "member_id")
 
 
 def shortest_paths(graphs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -63,18 +90,19 @@ def shortest_paths(graphs: DataFrame, queries: DataFrame) -> DataFrame:
         raise ValueError("shortest paths need weights of 0 or more")
     graphs = Rounds(spark, "adjacency").add(graphs.select("wid", "src_id", "dst_id", "weight"), 0)
     label = F.struct(F.col("distance"), F.col("hops"), F.col("path"))
-    start = queries.select(*KEY, "vertex_id", F.col("vertex_id").alias("target_id"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.array("vertex_id").alias("path")).alias("best")).distinct()
+    start = queries.select("wid", "vertex_id", F.col("vertex_id").alias("target_id"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.array("vertex_id").alias("path")).alias("best")).distinct()
     rounds = Rounds(spark, "paths")
     best = frontier = rounds.add(start, 0)
     level = 0
     while not frontier.isEmpty():
         level += 1
-        step = frontier.select(*KEY, "vertex_id", F.col("target_id").alias("src_id"), "best").join(graphs, ["wid", "src_id"])
-        found = step.where(~F.array_contains("best.path", F.col("dst_id"))).select(*KEY, "vertex_id", F.col("dst_id").alias("target_id"), (F.col("best.distance") + F.col("weight")).alias("distance"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("dst_id")).alias("path")).groupBy(*KEY, "vertex_id", "target_id").agg(F.min(label).alias("best"))
+        step = frontier.select("wid", "vertex_id", F.col("target_id").alias("src_id"), "best").join(graphs, ["wid", "src_id"])
+        found = step.where(~F.array_contains("best.path", F.col("dst_id"))).select("wid", "vertex_id", F.col("dst_id").alias("target_id"), (F.col("best.distance") + F.col("weight")).alias("distance"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("dst_id")).alias("path")).groupBy("wid", "vertex_id", "target_id").agg(F.min(label).alias("best"))
         old = best.withColumnRenamed("best", "old")
-        frontier = rounds.add(found.join(old, [*KEY, "vertex_id", "target_id"], "left").where(F.col("old").isNull() | (F.col("best") < F.col("old"))).drop("old"), level)
-        best = rounds.all().groupBy(*KEY, "vertex_id", "target_id").agg(F.min("best").alias("best"))
-    return best.where("target_id <> vertex_id").select(*KEY, "vertex_id", "target_id", F.col("best.distance").alias("distance"), F.col("best.path").alias("path"))
+        frontier = rounds.add(found.join(old, ["wid", "vertex_id", "target_id"], "left").where(F.col("old").isNull() | (F.col("best") < F.col("old"))).drop("old"), level)
+        best = rounds.all().groupBy("wid", "vertex_id", "target_id").agg(F.min("best").alias("best"))
+    found = _asked(best.where("target_id <> vertex_id"), queries)
+    return found.select(*KEY, "vertex_id", "target_id", F.col("best.distance").alias("distance"), F.col("best.path").alias("path"))
 
 
 def sampled_tree(graphs: DataFrame, queries: DataFrame, seed: int = 0) -> DataFrame:
@@ -86,19 +114,19 @@ def sampled_tree(graphs: DataFrame, queries: DataFrame, seed: int = 0) -> DataFr
     spark = graphs.sparkSession
     adjacency = Rounds(spark, "adjacency").add(graphs.select("wid", "src_id", "dst_id"), 0)
     rounds = Rounds(spark, "tree")
-    asked = queries.select(*KEY, "vertex_id", "h", "k").where("h > 0 and k > 0")
+    asked = queries.select("wid", "vertex_id", "h", "k").where("h > 0 and k > 0").distinct()
     deepest = asked.agg(F.max("k")).first()[0] or 0
     nodes = asked.select("*", F.col("vertex_id").alias("dst_id"), F.array().cast("array<string>").alias("path"))
-    empty = nodes.select(*KEY, "vertex_id", "h", "k", F.lit(0).alias("hop"), F.lit("").alias("src_id"), "dst_id", "path").limit(0)
+    empty = nodes.select("wid", "vertex_id", "h", "k", F.lit(0).alias("hop"), F.lit("").alias("src_id"), "dst_id", "path").limit(0)
     rounds.add(empty, 0)
     for hop in range(1, deepest + 1):
         step = nodes.where(F.col("k") >= hop).withColumnRenamed("dst_id", "src_id").join(adjacency, ["wid", "src_id"]).where(~F.array_contains("path", F.col("dst_id")))
         path = F.concat("path", F.array("src_id"))
-        order = Window.partitionBy(*KEY, "vertex_id", path).orderBy(F.md5(F.concat_ws(">", F.lit(str(seed)), path, F.col("dst_id"))), "dst_id")
+        order = Window.partitionBy("wid", "vertex_id", "h", "k", path).orderBy(F.md5(F.concat_ws(">", F.lit(str(seed)), path, F.col("dst_id"))), "dst_id")
         taken = step.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("h"))
-        level = rounds.add(taken.select(*KEY, "vertex_id", "h", "k", F.lit(hop).alias("hop"), "src_id", "dst_id", path.alias("path")), hop)
-        nodes = level.select(*KEY, "vertex_id", "h", "k", "dst_id", "path")
-    return rounds.all().select(*KEY, "vertex_id", "hop", "src_id", "dst_id", "path")
+        level = rounds.add(taken.select("wid", "vertex_id", "h", "k", F.lit(hop).alias("hop"), "src_id", "dst_id", path.alias("path")), hop)
+        nodes = level.select("wid", "vertex_id", "h", "k", "dst_id", "path")
+    return _asked(rounds.all(), queries, "h", "k").select(*KEY, "vertex_id", "hop", "src_id", "dst_id", "path")
 
 
 def pagerank(graphs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EDGE_WIRE = "src_id string, dst_id string, weight string, timestamp string"
 QUERY_WIRE = "query_id string, user_id string, vertex_id string, query_type string, start_t string, end_t string, parameter_map map<string,string>"
+#: A path without a host is written with one slash or with three.
+NO_HOST = r"^(\w+:)///"
 
 
 def typed_edges(wire: DataFrame, seq: Column | None = None) -> DataFrame:
@@ -30,9 +34,26 @@ def queries_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
     return typed_queries(lines.select(F.from_json(column, QUERY_WIRE).alias("q")).select("q.*"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, seq`` of text files; ``seq`` rises with the file's name, then the line, but isn't dense.
+
+    A line's place is its split's first byte plus its number in the split, which can't reach the next split's. Files
+    are ranked by the names that the driver lists anyway; up to 2^20 files of 8 TB each.
+    """
+    lines = spark.read.text(path)
+    split = F.struct(F.regexp_replace("_metadata.file_path", NO_HOST, "$1/").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.select("value", split.alias("split"), F.monotonically_increasing_id().alias("row")).select("value", "split.*", "row")
+    line = F.row_number().over(Window.partitionBy("file", "start").orderBy("row")) - 1
+    ranks = spark.createDataFrame([(f, n) for n, f in enumerate(sorted(re.sub(NO_HOST, r"\1/", f) for f in lines.inputFiles()))], "file string, rank long")
+    numbered = placed.select("value", "file", (F.col("start") + line).alias("place")).join(ranks, "file", "left")
+    rank = F.coalesce("rank", F.raise_error(F.concat(F.lit("not among the files listed: "), F.col("file"))).cast("long"))
+    return numbered.select("value", (F.shiftleft(rank, 43) + F.col("place")).alias("seq"))
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """A file of one JSON object per line; the order of lines is the order of arrival within a file split."""
-    return edges_from_json(spark.read.text(path))
+    """Files of one JSON object per line; ``seq`` rises with the file's name, then the line."""
+    wire = numbered_lines(spark, path).select(F.from_json("value", EDGE_WIRE).alias("e"), "seq")
+    return typed_edges(wire.select("e.*", "seq"), F.col("seq"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -46,11 +67,18 @@ def unkeyed(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def raw_edge_list(lines: DataFrame, mirror: bool = False, rows: int | None = None, column: str = "value") -> DataFrame:
-    """``src dst timestamp`` lines to edges without weights, both ways if wanted; ``rows`` caps the lines read."""
-    lines = lines.limit(rows) if rows is not None else lines
+    """``src dst timestamp`` lines to edges without weights, both ways if wanted.
+
+    ``rows`` caps the lines read: the first by ``seq``, which ``lines`` must have then (``numbered_lines`` gives it).
+    """
+    numbered = "seq" in lines.columns
+    if rows is not None:
+        if not numbered:
+            raise ValueError("a cap needs lines with seq, as the first lines are undefined without")
+        lines = lines.orderBy("seq").limit(rows)
     parts = F.split(F.trim(column), r"\s+")
-    wire = lines.select(F.get(parts, F.lit(0)).alias("src_id"), F.get(parts, F.lit(1)).alias("dst_id"), F.lit(None).cast("string").alias("weight"), F.get(parts, F.lit(2)).alias("timestamp"))
-    edges = typed_edges(wire)
+    wire = lines.select(F.get(parts, F.lit(0)).alias("src_id"), F.get(parts, F.lit(1)).alias("dst_id"), F.lit(None).cast("string").alias("weight"), F.get(parts, F.lit(2)).alias("timestamp"), *(["seq"] if numbered else []))
+    edges = typed_edges(wire, F.col("seq") if numbered else None)
     if mirror:
         # the mirrored edge arrives right after its edge
         twin = edges.withColumns({"src_id": F.col("dst_id"), "dst_id": F.col("src_id"), "seq": F.col("seq") * 2 + 1})
