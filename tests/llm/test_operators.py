@@ -466,6 +466,23 @@ def test_shards(spark, docs):
     assert pack.shard_documents(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [3000, 60_000])
+def test_shards_whatever_the_number(spark, docs, n):
+    rng = random.Random(12)
+    rows = [(i, f"{i} " + " ".join(rng.choices(WORDS, k=5 + min(300, int(4 * rng.paretovariate(1.5)))))) for i in range(n)] + [(n + i, f"{i % 40} twice or more") for i in range(400)]
+    frame = docs(rows)
+    few = {} if n > 3000 else {"heavy_share": 64, "lanes": 4, "spare": 200}
+    got = pack.shard_documents(frame, **few).toPandas()
+    assert len(got) == len(rows) and (got.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
+    got["words"] = got["doc_id"].map({i: len(t.split()) for i, t in rows})
+    by = got.groupby("shard").agg(bytes=("size", "sum"), words=("words", "sum"), rows=("size", "count"), slots=("slot", "nunique"), last=("slot", "max"))
+    assert len(by) == 8 and (by["slots"] == by["rows"]).all() and (by["last"] + 1 == by["rows"]).all()
+    assert by["bytes"].max() - by["bytes"].min() <= got["size"].median()  # less than a usual text
+    assert by["words"].max() <= 1.02 * by["words"].min() and by["rows"].max() <= 1.1 * by["rows"].min()
+    again = pack.shard_documents(frame.repartition(3), **few).toPandas()
+    assert got.drop(columns="words").sort_values("doc_id", ignore_index=True).equals(again.sort_values("doc_id", ignore_index=True))
+
+
 # n-grams
 
 @pytest.mark.parametrize("width, percent", [(3, 50), (3, 67), (5, 80), (3, 90), (3, 100)])

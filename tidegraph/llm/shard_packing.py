@@ -1,15 +1,16 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Documents of equal text form a group and stay in one shard. Where there are more than ``most_items`` groups, the small
-ones are packed in bundles, by hash, which are balanced less finely than groups would be; each item goes to the shard where the dot product of its vector with the residual capacity is highest, the
-largest items first. The number of items is bounded by parameters, so packing them on the driver is.
+Documents of equal text form a group and stay in one shard, and every group is packed itself, by the same steps whatever
+their number. Groups with a large share of a total come first, on the driver. All others are dealt by hash to ``lanes``
+that are packed side by side, each onto its part of what the large ones left. A lane holds back a few groups, chosen by
+hash; these come last, on the driver, and even out what the lanes left. What the driver packs is bounded by parameters.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.source_mixing import word_count
@@ -18,57 +19,96 @@ from tidegraph.llm.workspace import Workspace
 DIMENSIONS = ["bytes", "tokens", "rows"]
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item. ``vectors`` (n, d) are shares of the totals; every shard has capacity 1 / shards in each.
+def pack(vectors: np.ndarray, residual: np.ndarray, later: np.ndarray | float = 0.0, exact: bool = True) -> np.ndarray:
+    """The shard of each item. ``vectors`` (n, d) are shares of the totals; ``residual`` (shards, d) is what the shards
+    have left, which the items use up. ``later`` is what others will put there afterwards.
 
-    Most bytes (the first dimension) first. Of the shards whose bytes have room for an item, it goes where
-    item . residual is highest; where none has room, to the one with most bytes left. So bytes come out nearly equal,
-    the other dimensions as equal as that allows.
+    What a shard has left should shrink in proportion to what is still to come; an item goes where item . (residual
+    beyond that) is highest, each dimension counted in units of what is to come. ``exact`` takes items with most bytes
+    (the first dimension) first, and only shards whose bytes have room, or where none has, the one with most bytes left.
+    So bytes come out nearly equal, the other dimensions as equal as that allows. Otherwise items are taken as they stand.
     """
     out = np.zeros(len(vectors), np.int64)
-    residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
-    for i in np.lexsort((-vectors.max(1), -vectors[:, 0])):
+    if not len(vectors):
+        return out
+    order = np.lexsort((-vectors.max(1), -vectors[:, 0])) if exact else np.arange(len(vectors))
+    coming = np.maximum(np.cumsum(vectors[order][::-1], 0)[::-1] + later, 1e-150)
+    pull = vectors[order] / (coming if exact else coming[:1]) ** 2
+    room = residual / coming[:1]
+    for i, to_come, weighed in zip(order, coming, pull):
         item = vectors[i]
-        fits = residual[:, 0] >= item[0]
-        k = int(np.argmax(np.where(fits, residual @ item, -np.inf) if fits.any() else residual[:, 0]))
+        score = (residual - room * to_come) @ weighed
+        if exact:
+            fits = residual[:, 0] >= item[0]
+            score = np.where(fits, score, -np.inf) if fits.any() else residual[:, 0]
+        k = int(np.argmax(score))
         out[i] = k
         residual[k] -= item
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, bundles: int = 4096, heavy_share: int = 4096, salts: int = 64, most_items: int = 16384) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, heavy_share: int = 4096, lanes: int = 64, spare: int = 128, cells: int = 512) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs(doc_id, text)``; the law is ``bytes``.
 
     Size is the text's UTF-8 bytes plus 1; a null text counts as an empty one. A group of more than a shard's
-    capacity in some dimension can't stay whole: it is dealt in pieces by doc_id. A group with more than a
-    ``heavy_share``-th of a total is an item of its own, so there are at most 3 * heavy_share of those and their
-    pieces, besides the bundles, or the groups where they are few enough. Texts are measured whole. Rows that repeat a
-    doc_id, or have none, are rows like others; other columns are not read. Slots count from 0 in every shard, by item and doc_id; rows that are alike in every
-    column may change places.
+    capacity in some dimension can't stay whole: it is dealt in pieces by doc_id. Groups with more than a
+    ``heavy_share``-th of a total are packed first, so there are at most 3 * heavy_share of those, besides pieces; each
+    of the ``lanes`` holds back ``spare`` groups for the end. Texts are measured whole. Rows that repeat a
+    doc_id, or have none, are rows like others; other columns are not read. Slots count from 0 in every shard, by ``cells``
+    of a hash, then doc_id; rows that are alike in every column may change places.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "shards")
     text = F.coalesce("text", F.lit(""))
     rows = space.keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), word_count().alias("words"), F.xxhash64(text, F.length(text)).alias("group")), "rows")
-    groups = space.keep(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("words").alias("tokens"), F.count("*").alias("rows")), "groups")
-    alone = groups.count() <= most_items
+    sums = [F.sum("size").alias("bytes"), F.sum("words").alias("tokens"), F.count("*").alias("rows")]
+    groups = space.keep(rows.groupBy("group").agg(*sums), "groups")
     totals = groups.agg(*[F.greatest(F.coalesce(F.sum(c), F.lit(0)), F.lit(1)).alias(c) for c in DIMENSIONS]).first()
+    whole = np.array([totals[c] for c in DIMENSIONS], float)
     share = F.greatest(*[F.col(c) / float(totals[c]) for c in DIMENSIONS])
     pieces = F.when(share * shards > 1, F.ceil(share * shards * 4)).otherwise(1).cast("int")
     # at most 3 * heavy_share rows: each has more than that part of some total
     heavy = F.broadcast(groups.where(share > 1.0 / heavy_share).select("group", pieces.alias("pieces")))
-    wide = rows.join(heavy, "group", "left")
     place = F.xxhash64("doc_id", "group")
-    item = F.when(F.col("pieces").isNull(), F.concat(F.lit("b"), F.col("group") if alone else F.pmod("group", F.lit(bundles)))).otherwise(F.concat(F.lit("g"), "group", F.lit("."), F.pmod(place, F.col("pieces"))))
-    wide = wide.withColumn("item", item).withColumn("salt", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.shiftright(place, 20), F.lit(salts))).cast("int"))
-    parts = wide.groupBy("item", "salt").agg(F.sum("size").alias("bytes"), F.sum("words").alias("tokens"), F.count("*").alias("rows")).toPandas()
-    items = parts.groupby("item")[DIMENSIONS].sum().sort_index()
-    vectors = items.to_numpy(float).reshape(-1, 3) / np.array([totals[c] for c in DIMENSIONS], float)
-    items["shard"] = pack(vectors, shards)
-    parts = parts.sort_values(["item", "salt"]).join(items["shard"], on="item")
-    parts["start"] = parts.groupby("shard")["rows"].cumsum() - parts["rows"]
-    table = pd.DataFrame({"item": parts["item"].astype(str), "salt": parts["salt"].astype("int32"), "shard": parts["shard"].astype("int32"), "start": parts["start"].astype("int64")})
-    # bundles + heavy items with their salts: bounded by the parameters
-    where = F.broadcast(spark.createDataFrame(table, "item string, salt int, shard int, start long"))
-    slot = F.col("start") + F.row_number().over(Window.partitionBy("item", "salt").orderBy("doc_id", "text_crc32", "size")) - 1
-    return wide.join(where, ["item", "salt"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    wide = rows.join(heavy, "group", "left").withColumn("piece", F.coalesce(F.pmod(place, "pieces"), F.lit(-1)).cast("int"))
+
+    first = wide.where("piece >= 0").groupBy("group", "piece").agg(*sums).toPandas().sort_values(["group", "piece"])
+    amounts = first[DIMENSIONS].to_numpy(float)
+    later = np.maximum(whole - amounts.sum(0), 0) / whole
+    residual = np.full((shards, len(DIMENSIONS)), 1.0 / shards)
+    first["shard"] = pack(amounts / whole, residual, later)
+    after = residual / np.maximum(later, 1e-150)
+
+    def fill(lane: pd.DataFrame) -> pd.DataFrame:
+        """``shard`` of a lane's groups, taken by hash; -1 for the first ones, which are held back."""
+        lane = lane.sort_values("group")
+        vectors = lane[DIMENSIONS].to_numpy(float)[spare:] / whole
+        # lanes begin at different shards, so that what they can't even out doesn't add up
+        order = (np.arange(shards) + int(lane["lane"].iloc[0])) % shards
+        to = order[pack(vectors, (after * vectors.sum(0))[order], exact=False)]
+        return lane.assign(shard=np.concatenate([np.full(len(lane) - len(to), -1), to]))[["group", *DIMENSIONS, "shard"]]
+
+    light = groups.where(share <= 1.0 / heavy_share).withColumn("lane", F.pmod("group", F.lit(lanes)).cast("int"))
+    filled = space.keep(light.groupBy("lane").applyInPandas(fill, "group long, bytes long, tokens long, rows long, shard int"), "filled")
+    for load in filled.where("shard >= 0").groupBy("shard").agg(*[F.sum(c).alias(c) for c in DIMENSIONS]).collect():
+        residual[load["shard"]] -= np.array([load[c] for c in DIMENSIONS], float) / whole
+    last = filled.where("shard < 0").toPandas().sort_values("group").assign(piece=-1)
+    last["shard"] = pack(last[DIMENSIONS].to_numpy(float) / whole, residual)
+
+    # large groups with their pieces, and those held back: bounded by the parameters
+    known = F.broadcast(_table(spark, pd.concat([first, last]), "group long, piece int, shard int"))
+    cell = F.pmod(F.shiftright(place, 20), F.lit(cells)).cast("int").alias("cell")
+    # no group here has more than a heavy_share-th of the rows
+    others = wide.where("piece < 0").join(filled.where("shard >= 0").select("group", "shard").hint("merge"), "group")
+    both = [part.select("doc_id", "size", "text_crc32", "group", "shard", cell) for part in (wide.join(known, ["group", "piece"]), others)]
+    placed = space.keep(both[0].unionAll(both[1]), "placed")
+    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).toPandas().sort_values(["shard", "cell"])
+    counts["start"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
+    starts = F.broadcast(_table(spark, counts, "shard int, cell int, start long"))
+    slot = F.col("start") + F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size", "group")) - 1
+    return placed.join(starts, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _table(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFrame:
+    kinds = {name: {"int": "int32", "long": "int64"}[kind] for name, kind in (c.split() for c in schema.split(", "))}
+    return spark.createDataFrame(frame[list(kinds)].astype(kinds), schema)
