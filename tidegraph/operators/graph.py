@@ -15,6 +15,17 @@ from tidegraph.storage import Rounds
 
 KEY = ["query_id", "user_id", "wid"]
 DAMPING = 0.85
+#: Links that one task of a round reads.
+LINKS = 250_000
+
+
+def _dealt(graphs: DataFrame, *columns) -> DataFrame:
+    """``columns``, else all, of the graphs dealt out and sorted by source once, for all rounds; read from their table again where an executor is lost.
+
+    Into as many parts as the links need, so that a round's tasks grow with the graph only.
+    """
+    table = Rounds(graphs.sparkSession, "adjacency").add(graphs, 0)
+    return table.repartition(table.count() // LINKS + 1, "wid", "src_id").sortWithinPartitions("wid", "src_id").select(*columns or ["*"]).persist(StorageLevel.DISK_ONLY)
 
 
 def _asked(found: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
@@ -58,8 +69,10 @@ def reachable(graphs: DataFrame, queries: DataFrame, directed: bool = True) -> D
     adjacency = graphs.select("wid", "src_id", "dst_id")
     if not directed:
         adjacency = adjacency.union(adjacency.select("wid", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
-    adjacency = Rounds(graphs.sparkSession, "adjacency").add(adjacency, 0)
-    return _asked(_walks(adjacency, queries, not directed or _both_ways(adjacency)), queries).select(*KEY, "vertex_id", "member_id")
+    adjacency = _dealt(adjacency)
+    members = _walks(adjacency, queries, not directed or _both_ways(adjacency))
+    adjacency.unpersist()
+    return _asked(members, queries).select(*KEY, "vertex_id", "member_id")
 
 
 def component_of(members: DataFrame) -> DataFrame:
@@ -135,23 +148,20 @@ def pagerank(graphs: DataFrame, wanted: DataFrame) -> DataFrame:
     PR'(v) = (1 - d) + d * sum of PR(u) w(u, v) / W(u), all vertices at once; 1.0 before the first round, 1 - d
     for a vertex without in-edges. The mass of a vertex without out-edges is dropped.
     """
-    spark = graphs.sparkSession
-    base, parts = 1 - DAMPING, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    graphs = graphs.join(wanted.select("wid").distinct(), "wid", "left_semi")
-    total = graphs.groupBy("wid", "src_id").agg(F.sum("weight").alias("weight_sum"))
-    links = Rounds(spark, "adjacency").add(graphs.join(total, ["wid", "src_id"]).select("wid", "src_id", "dst_id", F.when(F.col("weight_sum") != 0, F.col("weight") / F.col("weight_sum")).otherwise(0.0).alias("part")), 0)
-    # dealt out once by source; kept so in every round, and read from its table again where an executor is lost
-    links = links.repartition(parts, "wid", "src_id").persist(StorageLevel.DISK_ONLY)
-    has_in = links.select("wid", F.col("dst_id").alias("vertex_id"), F.lit(True).alias("has_in")).distinct()
-    all_ids = links.select("wid", F.explode(F.array("src_id", "dst_id")).alias("vertex_id")).distinct()
+    base = 1 - DAMPING
+    total = F.sum("weight").over(Window.partitionBy("wid", "src_id"))
+    links = _dealt(graphs.join(wanted.select("wid").distinct(), "wid", "left_semi"), "wid", "src_id", "dst_id", F.when(total != 0, F.col("weight") / total).otherwise(0.0).alias("part"))
     most = wanted.groupBy("wid").agg(F.max("iterations").alias("n"))
-    rounds = Rounds(spark, "ranks")
-    ids = Rounds(spark, "vertices").add(all_ids.join(has_in, ["wid", "vertex_id"], "left").join(most, "wid").select("wid", "vertex_id", "has_in", "n"), 0)
-    ids = ids.repartition(parts, "wid", "vertex_id").persist(StorageLevel.DISK_ONLY)
+    sides = F.array(F.struct(F.col("src_id").alias("vertex_id"), F.lit(False).alias("has_in")), F.struct(F.col("dst_id").alias("vertex_id"), F.lit(True).alias("has_in")))
+    ids = links.select("wid", F.explode(sides).alias("side")).groupBy("wid", "side.vertex_id").agg(F.max("side.has_in").alias("has_in"))
+    ids = Rounds(graphs.sparkSession, "vertices").add(ids.join(most, "wid").select("wid", "vertex_id", "has_in", "n"), 0)
+    rounds = Rounds(graphs.sparkSession, "ranks")
     ranks = rounds.add(ids.select("wid", F.lit(0).alias("iteration"), "vertex_id", F.when(F.col("has_in"), 1.0).otherwise(base).alias("rank")), 0)
     for i in range(1, (most.agg(F.max("n")).first()[0] or 0) + 1):
-        gained = links.join(ranks.select("wid", F.col("vertex_id").alias("src_id"), "rank"), ["wid", "src_id"]).groupBy("wid", F.col("dst_id").alias("vertex_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("gain"))
-        ranks = rounds.add(ids.where(F.col("n") >= i).join(gained, ["wid", "vertex_id"], "left").select("wid", F.lit(i).alias("iteration"), "vertex_id", (base + DAMPING * F.coalesce("gain", F.lit(0.0))).alias("rank")), i)
+        gained = links.join(ranks.select("wid", F.col("vertex_id").alias("src_id"), "rank"), ["wid", "src_id"]).select("wid", F.col("dst_id").alias("vertex_id"), (F.col("rank") * F.col("part")).alias("gain"), F.lit(False).alias("wanted"))
+        # a row of no gain for every vertex of the windows that go on
+        every = ids.where(F.col("n") >= i).select("wid", "vertex_id", F.lit(0.0), F.lit(True))
+        summed = gained.union(every).groupBy("wid", "vertex_id").agg(F.sum("gain").alias("gain"), F.max("wanted").alias("wanted")).where("wanted")
+        ranks = rounds.add(summed.select("wid", F.lit(i).alias("iteration"), "vertex_id", (base + DAMPING * F.col("gain")).alias("rank")), i)
     links.unpersist()
-    ids.unpersist()
     return rounds.all().where("iteration > 0")
