@@ -84,11 +84,14 @@ def component_of(members: DataFrame) -> DataFrame:
 
 def strongly_connected(graphs: DataFrame, queries: DataFrame) -> DataFrame:
     """``KEY, vertex_id, member_id``: vertices both reachable from the query's vertex and reaching it, itself included."""
-    adjacency = Rounds(graphs.sparkSession, "adjacency").add(graphs.select("wid", "src_id", "dst_id"), 0)
+    adjacency = _dealt(graphs.select("wid", "src_id", "dst_id"))
     both_ways = _both_ways(adjacency)
     members = forward = _walks(adjacency, queries, both_ways)
+    adjacency.unpersist()
     if not both_ways:
-        back = _walks(adjacency.select("wid", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), queries, False)
+        reverse = _dealt(graphs.select("wid", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")))
+        back = _walks(reverse, queries, False)
+        reverse.unpersist()
         members = forward.join(back, ["wid", "vertex_id", "member_id"], "left_semi").union(forward.where("vertex_id = member_id")).distinct()
     return _asked(members, queries).select(*KEY, "vertex_id", "member_id")
 
@@ -96,24 +99,44 @@ def strongly_connected(graphs: DataFrame, queries: DataFrame) -> DataFrame:
 def shortest_paths(graphs: DataFrame, queries: DataFrame) -> DataFrame:
     """``KEY, vertex_id, target_id, distance, path`` of every reachable vertex but the source; least (distance, hops, path).
 
-    Bellman-Ford by frontiers: only vertices whose best label improved are expanded. Raises on negative weights.
+    Bellman-Ford by frontiers: only vertices whose best label improved are expanded. The best labels are written anew
+    when as many have been found since, so a round reads at most twice the vertices. Raises on negative weights.
     """
     spark = graphs.sparkSession
     if not graphs.where("weight < 0").isEmpty():
         raise ValueError("shortest paths need weights of 0 or more")
-    graphs = Rounds(spark, "adjacency").add(graphs.select("wid", "src_id", "dst_id", "weight"), 0)
+    graphs = _dealt(graphs.select("wid", "src_id", "dst_id", "weight"))
     label = F.struct(F.col("distance"), F.col("hops"), F.col("path"))
     start = queries.select("wid", "vertex_id", F.col("vertex_id").alias("target_id"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.array("vertex_id").alias("path")).alias("best")).distinct()
-    rounds = Rounds(spark, "paths")
-    best = frontier = rounds.add(start, 0)
-    level = 0
-    while not frontier.isEmpty():
+    rounds, whole = Rounds(spark, "paths"), Rounds(spark, "best")
+    key = ["wid", "vertex_id", "target_id"]
+    frontier = rounds.add(start.withColumn("new", F.lit(True)), 0)
+    base, base_rows, recent, recent_rows = whole.add(start, 0), 0, [], 0
+    level, bound = 0, None
+    while True:
+        rows, new = frontier.agg(F.count("*"), F.count_if("new")).first()
+        best = base.union(rounds.some(recent).drop("new")).groupBy(*key).agg(F.min("best").alias("best")) if recent else base
+        recent_rows += rows if recent else 0
+        if not rows:
+            break
+        # without new vertices, all neighbours are labelled: longer ways than to the farthest lead to no better label
+        if recent_rows >= base_rows or (not new and bound is None):
+            base = best = whole.add(best, level) if recent else base
+            base_rows, recent, recent_rows = base.count(), [], 0
+            if not new and bound is None:
+                bound = base.agg(F.max("best.distance")).first()[0]
+                wide, graphs = graphs, _dealt(graphs.where(F.col("weight") <= bound))
+                wide.unpersist()
         level += 1
+        way = F.col("best.distance") + F.col("weight")
         step = frontier.select("wid", "vertex_id", F.col("target_id").alias("src_id"), "best").join(graphs, ["wid", "src_id"])
-        found = step.where(~F.array_contains("best.path", F.col("dst_id"))).select("wid", "vertex_id", F.col("dst_id").alias("target_id"), (F.col("best.distance") + F.col("weight")).alias("distance"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("dst_id")).alias("path")).groupBy("wid", "vertex_id", "target_id").agg(F.min(label).alias("best"))
+        step = step if bound is None else step.where(way <= bound)
+        found = step.where(~F.array_contains("best.path", F.col("dst_id"))).select("wid", "vertex_id", F.col("dst_id").alias("target_id"), way.alias("distance"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("dst_id")).alias("path")).groupBy(*key).agg(F.min(label).alias("best"))
         old = best.withColumnRenamed("best", "old")
-        frontier = rounds.add(found.join(old, ["wid", "vertex_id", "target_id"], "left").where(F.col("old").isNull() | (F.col("best") < F.col("old"))).drop("old"), level)
-        best = rounds.all().groupBy("wid", "vertex_id", "target_id").agg(F.min("best").alias("best"))
+        better = found.join(old, key, "left").where(F.col("old").isNull() | (F.col("best") < F.col("old")))
+        frontier = rounds.add(better.select(*key, "best", F.col("old").isNull().alias("new")), level)
+        recent = [*recent, level]
+    graphs.unpersist()
     found = _asked(best.where("target_id <> vertex_id"), queries)
     return found.select(*KEY, "vertex_id", "target_id", F.col("best.distance").alias("distance"), F.col("best.path").alias("path"))
 
@@ -125,7 +148,7 @@ def sampled_tree(graphs: DataFrame, queries: DataFrame, seed: int = 0) -> DataFr
     ``h`` least md5 of seed, path and neighbour, so it can be repeated; ``h`` of at least the largest degree takes all.
     """
     spark = graphs.sparkSession
-    adjacency = Rounds(spark, "adjacency").add(graphs.select("wid", "src_id", "dst_id"), 0)
+    adjacency = _dealt(graphs.select("wid", "src_id", "dst_id"))
     rounds = Rounds(spark, "tree")
     asked = queries.select("wid", "vertex_id", "h", "k").where("h > 0 and k > 0").distinct()
     deepest = asked.agg(F.max("k")).first()[0] or 0
@@ -139,6 +162,7 @@ def sampled_tree(graphs: DataFrame, queries: DataFrame, seed: int = 0) -> DataFr
         taken = step.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("h"))
         level = rounds.add(taken.select("wid", "vertex_id", "h", "k", F.lit(hop).alias("hop"), "src_id", "dst_id", path.alias("path")), hop)
         nodes = level.select("wid", "vertex_id", "h", "k", "dst_id", "path")
+    adjacency.unpersist()
     return _asked(rounds.all(), queries, "h", "k").select(*KEY, "vertex_id", "hop", "src_id", "dst_id", "path")
 
 

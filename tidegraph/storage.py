@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """Tables of one iterative run in the shared folder. ``add`` appends a level and returns it; ``all`` reads every level."""
+    """Tables of one iterative run in the shared folder. ``add`` appends a level and returns it; ``some`` reads the named ones, ``all`` every level."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -58,6 +58,9 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
+    def some(self, levels: list[int]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/level={k}" for k in levels])
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.root)
 
